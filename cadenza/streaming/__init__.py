@@ -1,0 +1,5 @@
+"""Deliberately empty: the reference has no streaming surface.
+
+Sessions and service metrics are batch jobs (``operators.rhythm`` and
+``operators.metrics``); nothing here is invented beyond that.
+"""
