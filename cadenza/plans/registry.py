@@ -57,10 +57,11 @@ VIEWS = {
 }
 
 
-def _needed(body: str, found: list[str]) -> list[str]:
+def _needed(body: str, found: list[str], inside: tuple[str, ...] = ()) -> list[str]:
+    """Views a statement reads, dependencies first."""
     for name, text in VIEWS.items():
-        if name not in found and re.search(rf"\b{name}\b", body):
-            _needed(text, found)
+        if name not in found and name not in inside and re.search(rf"(from|join|,)\s+{name}\b", body, re.I):
+            _needed(text, found, (*inside, name))
             if name not in found:
                 found.append(name)
     return found
