@@ -490,10 +490,7 @@ def service_metrics(c):
     "select cast(date_diff('hour', timestamp '2024-01-01', date_trunc('hour', ts)) as bigint) as hour_no, count(*) as n, round(avg(latency_ms),6) as mean_latency from requests group by 1",
 )
 def service_throughput(c):
-    out = metrics.throughput(c.requests)
-    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
-    hour = ((F.unix_timestamp("window") - F.unix_timestamp(start)) / 3600).cast("bigint")
-    return out.select(hour.alias("hour_no"), "n", r6("mean_latency").alias("mean_latency"))
+    return rounded(metrics.throughput(c.requests), "mean_latency")
 
 
 # ---- sorts and limits -----------------------------------------------------------------------
