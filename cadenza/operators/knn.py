@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators.ranking import top_k
+from cadenza.session import cut_lineage
 
 BOUND = 8192  # rows a side may have to be sent to every task
 
@@ -68,6 +69,24 @@ def block_top_k(qid, q, cid, c, w, k, metric, exclude_self) -> pd.DataFrame:
     return pd.concat(parts) if parts else pd.DataFrame({"q": [], "c": [], "distance": [], "rank": []})
 
 
+def self_knn(df: DataFrame, k: int, *, id_col: str, vector: str = "v", metric: str = "euclidean", bound: int = BOUND) -> DataFrame:
+    """``(id, neighbour, distance, rank)``: the k nearest other rows of every row.
+
+    Copies of one vector are one point that lists its k + 1 smallest ids, which is all a neighbour list
+    can use; so a group of copies costs one point and its pairs never meet.
+    """
+    tag = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    first = top_k(tag, ["v"], [F.col("id")], k + 1, "_r")
+    points = first.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("p", F.col("ids")[0])
+    points = cut_lineage(points)
+    near = knn(points.select("p", "v"), points.select(F.col("p").alias("c"), "v"), k + 1, query_id="p", metric=metric, bound=bound)
+    ids = near.join(points.select(F.col("p").alias("c"), "ids"), "c").select("p", "distance", F.explode("ids").alias("neighbour"))
+    lists = top_k(ids, ["p"], [F.col("distance"), F.col("neighbour")], k + 1, "_r").drop("_r")
+    member = tag.join(points.select("p", "v"), "v").select("id", "p")
+    own = member.join(lists, "p").where(F.col("id") != F.col("neighbour"))
+    return top_k(own, ["id"], [F.col("distance"), F.col("neighbour")], k).select(F.col("id").alias(id_col), "neighbour", "distance", "rank")
+
+
 def _type(df: DataFrame, name: str) -> str:
     return dict(df.dtypes)[name]
 

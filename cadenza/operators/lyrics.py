@@ -67,13 +67,14 @@ def docs_with_any(docs: DataFrame, doc_id: str, wanted: DataFrame, text: str = "
     asked = tf.join(wanted.select("term").distinct(), "term", "left_semi")
     n = docs.agg(F.count("*").alias("n")).scalar()
     idf = document_frequencies(asked).select("term", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf"))
+    idf = idf.where("idf > 0")  # a word of every document weighs nothing
     return asked.join(idf, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("weight"))
 
 
 def similar_lyrics(docs: DataFrame, doc_id: str, verses: DataFrame, verse_id: str, k: int = 10, text: str = "text") -> DataFrame:
     """Top ``k`` songs per verse by cosine of TF-IDF vectors; the corpus supplies the idf."""
     tf = term_frequencies(docs, doc_id, text)
-    idf = idf_table(tf, docs)
+    idf = idf_table(tf, docs).where("idf > 0")  # a word of every document weighs nothing
     d = tf.join(idf, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("dw"))
     v = term_frequencies(verses, verse_id, text).join(idf, "term").select(verse_id, "term", (F.col("tf") * F.col("idf")).alias("vw"))
     dn = d.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("dw") * F.col("dw"))).alias("dn"))

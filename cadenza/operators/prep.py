@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.functions.hashing import seeded_hash
+from cadenza.functions.hashing import hash_fraction, seeded_hash
 from cadenza.functions.text import normal_name
 from cadenza.operators.ordered import hash_ranked
 
@@ -48,6 +48,11 @@ def global_norm(cells: DataFrame, value: str, fit_on: Column | None = None) -> D
     return cells.withColumn(value, (F.col(value) - p["m"]) / F.greatest(p["s"], F.lit(1e-12)))
 
 
+def in_share(id_col: str, share: float, seed: int = 42) -> Column:
+    """True for a hashed ``share`` of the ids: a train mask that needs no ranking."""
+    return hash_fraction(seeded_hash(id_col, seed)) < share
+
+
 def stratified_split(df: DataFrame, id_col: str, label: str, seed: int = 42, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """Exact train/val/test shares within every class, by seeded hash order."""
     ranked = hash_ranked(df, [label], seeded_hash(id_col, seed), id_col, number="_rn", total="_cnt")
@@ -141,7 +146,5 @@ def gold_subset(df: DataFrame, id_col: str, group: str, n: int = 50, seed: int =
     from pyspark.sql import Window as W
 
     digest = seeded_hash(id_col, seed)
-    ranked = df.withColumn("_d", digest).withColumn(
-        "round", F.row_number().over(W.partitionBy(group).orderBy("_d", id_col)).cast("bigint")
-    )
+    ranked = df.withColumn("_d", digest).withColumn("round", F.row_number().over(W.partitionBy(group).orderBy("_d", id_col)))
     return ranked.where(F.col("round") <= n).orderBy("round", group).limit(n).drop("_d")

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators.knn import knn
+from cadenza.operators.knn import knn, self_knn
 from cadenza.operators.ordered import exact_quantiles
 from cadenza.operators.prep import standard_scale
 from cadenza.operators.ranking import top_k
@@ -102,10 +102,7 @@ def vote_artist(neighbours: DataFrame, query: str, artist: str = "artist") -> Da
 def song_to_artist(songs: DataFrame, features: Sequence[str], k: int) -> DataFrame:
     """Artist of every song by vote of its k nearest other songs."""
     z = standard_scale(songs, features)
-    near = knn(
-        packed(z, "song_id", features, "song_id"), packed(z, "song_id", features, "neighbour"), k,
-        query_id="song_id", candidate_id="neighbour", exclude_self=True,
-    )
+    near = self_knn(packed(z, "song_id", features, "song_id"), k, id_col="song_id")
     named = near.join(songs.select(F.col("song_id").alias("neighbour"), "artist"), "neighbour")
     return vote_artist(named, "song_id")
 

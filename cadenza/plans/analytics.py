@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators import joins, metrics, profiles, ranking
-from cadenza.operators.prep import standard_scale
-from cadenza.plans.catalogue import r6
+from cadenza.operators.prep import in_share, standard_scale
+from cadenza.plans.catalogue import _share, r6
 from cadenza.plans.registry import query
 from cadenza.sources.catalog import FEATURES
 
@@ -681,7 +681,7 @@ def knn_cv(c):
 
 @query(
     "knn_classifier",
-    "with e as (select vec_id, label, x as v, vec_id % 5 = 0 as test from labelled), r as (select a.vec_id, a.label as truth, b.label as vote, "
+    f"with e as (select vec_id, label, x as v, {_share('vec_id')} >= 0.8 as test from labelled), r as (select a.vec_id, a.label as truth, b.label as vote, "
     "row_number() over (partition by a.vec_id order by round(sqrt(list_sum(list_transform(list_zip(a.v,b.v), lambda z: (z[1]-z[2])**2))),9), b.vec_id) as rank from e a join e b on a.test and not b.test), "
     "v as (select vec_id, truth, vote, row_number() over (partition by vec_id order by count(*) desc, vote) as rn from r where rank <= 7 group by 1,2,3) select vec_id, truth, vote as pred from v where rn = 1",
 )
@@ -689,7 +689,7 @@ def knn_classifier(c):
     from cadenza.operators.knn import knn
 
     v = c.labelled
-    test, train = v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0")
+    test, train = v.where(~in_share("vec_id", 0.8)), v.where(in_share("vec_id", 0.8))
     near = knn(test.select(F.col("vec_id").alias("q"), F.col("x").alias("v")), train.select(F.col("vec_id").alias("c"), F.col("x").alias("v")), 7)
     votes = near.join(train.select(F.col("vec_id").alias("c"), F.col("label").alias("pred")), "c")
     return metrics.hard_vote(votes, "q").join(test.select(F.col("vec_id").alias("q"), F.col("label").alias("truth")), "q").select(F.col("q").alias("vec_id"), "truth", "pred")

@@ -11,13 +11,18 @@ from cadenza.operators import filters, prep, requests as rq, validate
 from cadenza.plans.registry import query
 from cadenza.session import scratch_path
 from cadenza.sources import files
-from cadenza.sources.catalog import FEATURES, SCHEMAS
+from cadenza.sources.catalog import FEATURES
 
 
 def r6(c):
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
 
 
+def _share(id_col: str) -> str:
+    """The hashed position of an id in [0, 1), in DuckDB spelling."""
+    return f"(cast(('0x' || substr(md5({id_col} || ':42'),1,8)) as bigint) / 4294967296.0::double)"
+
+
 def ids(df: DataFrame) -> DataFrame:
     return df.select("song_id")
 
@@ -107,10 +112,10 @@ def _decodable():
 @query(
     "corrupt_filter",
     "select split, count(*) filter (ok) as kept, count(*) filter (not ok) as rejected from (select "
-    "case when song_id % 10 = 0 then 'test' else 'train' end as split, explicit is not null and length(text) > 0 as ok from lyrics) group by 1",
+    f"case when {_share('song_id')} < 0.8 then 'train' else 'test' end as split, explicit is not null and length(text) > 0 as ok from lyrics) group by 1",
 )
 def corrupt_filter(c):
-    split = F.when(F.col("song_id") % 10 == 0, "test").otherwise("train")
+    split = F.when(prep.in_share("song_id", 0.8), "train").otherwise("test")
     return filters.split_corrupt(c.lyrics.withColumn("split", split), _decodable(), "split")[2]
 
 
@@ -386,35 +391,38 @@ def schema_consistency(c):
     "order by round, genre limit 50",
 )
 def gold_subset(c):
-    return prep.gold_subset(c.songs.select("song_id", "genre"), "song_id", "genre").select("song_id", "genre", "round")
+    return prep.gold_subset(c.songs.select("song_id", "genre"), "song_id", "genre").select("song_id", "genre", F.col("round").cast("bigint").alias("round"))
 
 
 # ---- scaling and splitting ------------------------------------------------------------------
 
-_Z = "({0} - (select avg({0}) from songs where song_id % 5 <> 0)) / (select stddev_pop({0}) from songs where song_id % 5 <> 0)"
+_TRAIN = _share("song_id") + " < 0.8"
+_Z = "({0} - (select avg({0}) from songs where {_TRAIN})) / (select stddev_pop({0}) from songs where {_TRAIN})".replace("{_TRAIN}", _TRAIN)
 
 
-@query("standard_scale", "select song_id, " + ", ".join(f"round({_Z.format(f)},6) as {f}" for f in FEATURES) + " from songs")
+@query("standard_scale", "select song_id, " + ", ".join(f"round({_Z.format(f)},6) + 0.0 as {f}" for f in FEATURES) + " from songs")
 def standard_scale(c):
-    out = prep.standard_scale(c.songs, FEATURES, F.col("song_id") % 5 != 0)
+    out = prep.standard_scale(c.songs, FEATURES, prep.in_share("song_id", 0.8))
     return out.select("song_id", *[r6(f).alias(f) for f in FEATURES])
 
 
-_M = "({0} - (select min({0}) from songs where song_id % 5 <> 0)) / (select max({0}) - min({0}) from songs where song_id % 5 <> 0)"
+_M = "({0} - (select min({0}) from songs where {_TRAIN})) / (select max({0}) - min({0}) from songs where {_TRAIN})".replace("{_TRAIN}", _TRAIN)
 
 
 @query("minmax_scale", "select song_id, " + ", ".join(f"round({_M.format(f)},6) as {f}" for f in FEATURES) + " from songs")
 def minmax_scale(c):
-    out = prep.minmax_scale(c.songs, FEATURES, F.col("song_id") % 5 != 0)
+    out = prep.minmax_scale(c.songs, FEATURES, prep.in_share("song_id", 0.8))
     return out.select("song_id", *[r6(f).alias(f) for f in FEATURES])
 
 
 @query(
     "global_norm",
-    "select clip, frame, bin, round((value - (select avg(value) from frames where clip % 10 > 1)) / (select stddev_pop(value) from frames where clip % 10 > 1),6) as value from frames",
+    "select clip, frame, bin, round((value - (select avg(value) from frames where {t})) / (select stddev_pop(value) from frames where {t}),6) + 0.0 as value from frames".replace(
+        "{t}", _share("clip") + " < 0.8"
+    ),
 )
 def global_norm(c):
-    out = prep.global_norm(c.frames, "value", F.col("clip") % 10 > 1)
+    out = prep.global_norm(c.frames, "value", prep.in_share("clip", 0.8))
     return out.withColumn("value", r6("value"))
 
 
@@ -631,5 +639,3 @@ def vibe_weights(c):
 def route_features(c):
     return rq.route_questions(prompts(c), "event_id", text.tokens("prompt"))
 
-
-SCHEMA_TABLES = list(SCHEMAS)

@@ -44,8 +44,8 @@ VIEWS = {
     "case when event_type='error' then 1 else 0 end as is_error from events",
     "turns": "select conv_id, turn, role, text from conversations",
     "preds": "select vec_id, label as truth, case when vec_id % 3 = 0 then (label+1) % 10 else label end as pred from embeddings",
-    "ballots": "select vec_id, label as truth, case when vec_id % 10 = 0 then 'test' when vec_id % 10 = 1 then 'val' else 'train' end as split, "
-    "model, priority, case when vec_id % step = 0 then (label + priority + 1) % 10 else label end as pred from embeddings, "
+    "ballots": "select vec_id, label as truth, case when h < 0.8 then 'train' when h < 0.9 then 'val' else 'test' end as split, "
+    "model, priority, case when vec_id % step = 0 then (label + priority + 1) % 10 else label end as pred from (select *, cast(('0x' || substr(md5(vec_id || ':42'),1,8)) as bigint) / 4294967296.0::double as h from embeddings), "
     "(values ('rf',0,5),('gb',1,4),('svm',2,3),('lr',3,4)) m(model,priority,step)",
     "edges": "select distinct 'artist:' || artist as src, 'song:' || song_id as dst, 'PERFORMED' as rel from songs union all "
     "select 'song:' || song_id, 'genre:' || genre, 'HAS_GENRE' from songs union all "

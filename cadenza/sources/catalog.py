@@ -10,6 +10,8 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from cadenza.functions.hashing import hash_fraction, seeded_hash
+
 # The column layout of each source table.
 SCHEMAS = {
     "region": "r_regionkey int, r_name string",
@@ -221,7 +223,8 @@ class Catalog:
                 for i, (name, step) in enumerate([("rf", 5), ("gb", 4), ("svm", 3), ("lr", 4)])
             ]
         )
-        split = F.when(F.col("vec_id") % 10 == 0, "test").when(F.col("vec_id") % 10 == 1, "val").otherwise("train")
+        h = hash_fraction(seeded_hash("vec_id", 42))
+        split = F.when(h < 0.8, "train").when(h < 0.9, "val").otherwise("test")
         return v.select("vec_id", "truth", split.alias("split"), F.inline(models))
 
     @cached_property
@@ -233,12 +236,13 @@ class Catalog:
             .unionByName(s.select(song.alias("src"), F.concat(F.lit("genre:"), "genre").alias("dst"), F.lit("HAS_GENRE").alias("rel")))
             .unionByName(
                 self.table("lineitem")
+                .select("l_partkey", "l_orderkey")
+                .distinct()
                 .select(
                     F.concat(F.lit("song:"), F.col("l_partkey").cast("string")).alias("src"),
                     F.concat(F.lit("album:"), F.col("l_orderkey").cast("string")).alias("dst"),
                     F.lit("IN_ALBUM").alias("rel"),
                 )
-                .distinct()
             )
         )
 
