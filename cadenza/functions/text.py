@@ -9,14 +9,9 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def plain(c: str | Column) -> Column:
-    """Lower case with everything but letters, digits, apostrophes and spaces turned into spaces."""
-    return F.regexp_replace(F.lower(_c(c)), r"[^\p{L}\p{N}' ]", " ")
-
-
 def tokens(c: str | Column) -> Column:
-    """Non-empty words of a text, in order."""
-    return F.filter(F.split(plain(c), " "), lambda t: t != "")
+    """Lower-case words of a text in order: runs of letters, digits and apostrophes."""
+    return F.array_remove(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}']+"), "")
 
 
 def split_multivalue(c: str | Column, sep: str = ",") -> Column:

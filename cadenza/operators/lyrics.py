@@ -18,12 +18,17 @@ STOPWORDS = {
 }
 
 
+def _not_in(words: Sequence[str]):
+    return lambda t: ~t.isin(*words)
+
+
 def clean_lyrics(lyrics: DataFrame, stopwords: dict[str, Sequence[str]] = STOPWORDS, text: str = "text", lang: str = "lang") -> DataFrame:
     """Lower case, no punctuation, no stopwords of the song's language; words stay in order."""
-    pairs = [x for k, v in stopwords.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]
-    stop = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(lang)), F.array().cast("array<string>"))
-    kept = F.filter(tokens(text), lambda t: ~F.array_contains(stop, t))
-    return lyrics.withColumn("clean", F.array_join(kept, " "))
+    kept = None
+    for code, words in stopwords.items():
+        test, out = F.col(lang) == code, F.filter("_tok", _not_in(words))
+        kept = F.when(test, out) if kept is None else kept.when(test, out)
+    return lyrics.withColumn("_tok", tokens(text)).withColumn("clean", F.array_join(kept.otherwise(F.col("_tok")), " ")).drop("_tok")
 
 
 def term_frequencies(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:

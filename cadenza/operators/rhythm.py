@@ -25,12 +25,13 @@ def centred(envelope: DataFrame) -> DataFrame:
 def autocorrelation(envelope: DataFrame, max_lag: int) -> DataFrame:
     """``(clip, lag, ac)`` for lags 0..max_lag: all lags in one pass, summed before the shuffle."""
     rows, w = with_halo(envelope, ["clip"], "t", max_lag, 0)
-    lags = own_rows(rows.withColumns({f"_l{k}": F.lag("strength", k).over(w) for k in range(1, max_lag + 1)}))
-    s = F.col("strength")
-    sums = lags.groupBy("clip").agg(
-        F.sum(s * s).alias("0"), *[F.coalesce(F.sum(s * F.col(f"_l{k}")), F.lit(0.0)).alias(str(k)) for k in range(1, max_lag + 1)]
-    )
-    return sums.unpivot(["clip"], [str(k) for k in range(max_lag + 1)], "lag", "ac").select("clip", F.col("lag").cast("int").alias("lag"), "ac")
+    # the current value and at most max_lag earlier ones, newest first
+    seen = F.reverse(F.collect_list("strength").over(w.rowsBetween(-max_lag, 0)))
+    past = own_rows(rows.withColumn("_past", seen))
+    long = past.select("clip", "strength", F.posexplode("_past").alias("lag", "_x"))
+    sums = long.groupBy("clip", "lag").agg(F.sum(F.col("strength") * F.col("_x")).alias("ac"))
+    every = envelope.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
+    return every.join(sums, ["clip", "lag"], "left").select("clip", "lag", F.coalesce("ac", F.lit(0.0)).alias("ac"))
 
 
 def _best_lag(scores: DataFrame, lo: int, hi: int, score: str) -> DataFrame:

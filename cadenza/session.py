@@ -50,6 +50,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives executor loss and keeps iterative plans short."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write a table to the shared folder and go on from it.
+
+    Like a reliable checkpoint it survives executor loss and keeps iterative plans short; unlike one it
+    has a known size, so Spark can choose to broadcast it, and its columns can be pruned.
+    """
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,6 +36,16 @@ SCHEMAS = {
 FEATURES = ["tempo", "energy", "valence", "danceability"]
 
 
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Give a scan with fewer splits than the session has slots one partition per slot.
+
+    Word-level work on texts is bound by CPU; one small file would otherwise keep it in one task. A scan
+    that already has enough splits, as any large corpus has, is left alone.
+    """
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots, key) if scan.rdd.getNumPartitions() < slots else scan
+
+
 class Catalog:
     """Named DataFrames over one folder of source tables."""
 
@@ -116,7 +126,7 @@ class Catalog:
 
     @cached_property
     def lyrics(self) -> DataFrame:
-        d, lab = self.table("documents"), self.table("labels")
+        d, lab = spread(self.table("documents"), "doc_id"), self.table("labels")
         return d.join(lab, "doc_id", "left").select(
             F.col("doc_id").alias("song_id"),
             "text",
