@@ -131,12 +131,16 @@ METERS = {3: "3/4", 4: "4/4", 6: "6/8"}
 
 
 def meter_class(beats: DataFrame, accent: str = "value") -> DataFrame:
-    """Meter whose period shows the largest mean autocorrelation of beat accents."""
+    """Meter whose period shows the largest autocorrelation of beat accents.
+
+    Summed, not averaged, over the beats: a bar of three also repeats after six, and the sum prefers
+    the period that more beats confirm.
+    """
     mean = beats.groupBy("clip").agg(F.avg(accent).alias("_m"))
     c = beats.join(mean, "clip").select("clip", "beat_no", (F.col(accent) - F.col("_m")).alias("a"))
     rows, w = with_halo(c, ["clip"], "beat_no", max(METERS), 0)
     lagged = own_rows(rows.withColumns({f"_l{p}": F.lag("a", p).over(w) for p in METERS}))
-    scores = lagged.groupBy("clip").agg(*[F.round(F.avg(F.col("a") * F.col(f"_l{p}")), 9).alias(str(p)) for p in METERS])
+    scores = lagged.groupBy("clip").agg(*[F.round(F.sum(F.col("a") * F.col(f"_l{p}")), 9).alias(str(p)) for p in METERS])
     entries = [F.struct(F.coalesce(F.col(str(p)), F.lit(-1e300)).alias("s"), F.lit(-p).alias("n"), F.lit(m).alias("meter")) for p, m in METERS.items()]
     return scores.select("clip", F.array_max(F.array(*entries))["meter"].alias("meter"))
 

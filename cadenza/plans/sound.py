@@ -443,7 +443,7 @@ def swing_ratio(c):
 
 @query(
     "meter_class",
-    "with a as (select clip, beat_no, value - avg(value) over (partition by clip) as v from beats), s as (select a.clip, p.p, round(avg(a.v * b.v),9) as s from a join a b on a.clip = b.clip join (values (3),(4),(6)) p(p) on b.beat_no = a.beat_no - p.p group by 1, 2), "
+    "with a as (select clip, beat_no, value - avg(value) over (partition by clip) as v from beats), s as (select a.clip, p.p, round(sum(a.v * b.v),9) as s from a join a b on a.clip = b.clip join (values (3),(4),(6)) p(p) on b.beat_no = a.beat_no - p.p group by 1, 2), "
     "r as (select clip, p, row_number() over (partition by clip order by s desc, p) as rn from s) select clip, case p when 3 then '3/4' when 4 then '4/4' else '6/8' end as meter from r where rn = 1",
 )
 def meter_class(c):
