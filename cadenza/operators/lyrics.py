@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadenza.functions.text import tokens
 from cadenza.operators.ranking import top_k
+from cadenza.session import cut_lineage
 
 # Function words per language that cleaning removes.
 STOPWORDS = {
@@ -68,8 +69,10 @@ def keyword_search(docs: DataFrame, doc_id: str, queries: DataFrame, query_id: s
 
 def docs_with_any(docs: DataFrame, doc_id: str, wanted: DataFrame, text: str = "text") -> DataFrame:
     """TF-IDF weights of only the terms that some query asks for."""
-    tf = term_frequencies(docs, doc_id, text)
-    asked = tf.join(wanted.select("term").distinct(), "term", "left_semi")
+    words = docs.select(doc_id, F.explode(tokens(text)).alias("term"))
+    # only asked words are counted and shuffled; the small table then serves both frequencies and weights
+    asked = words.join(wanted.select("term").distinct(), "term", "left_semi").groupBy(doc_id, "term").agg(F.count("*").alias("tf"))
+    asked = cut_lineage(asked)
     n = docs.agg(F.count("*").alias("n")).scalar()
     idf = document_frequencies(asked).select("term", F.log((n + 1.0) / (F.col("df") + 1.0)).alias("idf"))
     idf = idf.where("idf > 0")  # a word of every document weighs nothing
@@ -78,7 +81,7 @@ def docs_with_any(docs: DataFrame, doc_id: str, wanted: DataFrame, text: str = "
 
 def similar_lyrics(docs: DataFrame, doc_id: str, verses: DataFrame, verse_id: str, k: int = 10, text: str = "text") -> DataFrame:
     """Top ``k`` songs per verse by cosine of TF-IDF vectors; the corpus supplies the idf."""
-    tf = term_frequencies(docs, doc_id, text)
+    tf = cut_lineage(term_frequencies(docs, doc_id, text))  # read three times below
     idf = idf_table(tf, docs).where("idf > 0")  # a word of every document weighs nothing
     d = tf.join(idf, "term").select(doc_id, "term", (F.col("tf") * F.col("idf")).alias("dw"))
     v = term_frequencies(verses, verse_id, text).join(idf, "term").select(verse_id, "term", (F.col("tf") * F.col("idf")).alias("vw"))

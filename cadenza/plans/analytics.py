@@ -386,11 +386,15 @@ def _similar(c, k, metric="euclidean", features=FEATURES):
 )
 def known_pair_rank(c):
     names = c.songs.select("artist").distinct()
-    ends = names.agg(F.struct(F.min("artist").alias("lo"), F.max("artist").alias("hi"))).scalar()
-    inner = names.agg(F.array_sort(F.collect_set("artist"))).scalar()  # distinct artist names
-    n = F.size(inner)
-    hi = F.when(F.col("artist") == ends["hi"], F.element_at(inner, n - 1)).otherwise(ends["hi"])
-    lo = F.when(F.col("artist") == ends["lo"], F.element_at(inner, 2)).otherwise(ends["lo"])
+
+    def ends(order):
+        """The first two names in an order, as one two-element array."""
+        two = names.orderBy(order).limit(2)
+        return two.agg(F.array_sort(F.collect_list("artist"))).scalar()
+
+    low, high = ends(F.asc("artist")), ends(F.desc("artist"))
+    lo = F.when(F.col("artist") == low[0], low[1]).otherwise(low[0])
+    hi = F.when(F.col("artist") == high[1], high[0]).otherwise(high[1])
     pairs = names.select("artist", F.explode(F.array(lo, hi)).alias("neighbour")).distinct()
     return metrics.known_pair_rank(pairs, _similar(c, 8), "artist", "neighbour")
 
