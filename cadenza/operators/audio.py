@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from cadenza.functions.hashing import hash_int
 from cadenza.operators.ordered import exact_quantiles, own_rows, with_halo
+from cadenza.session import small_table
 
 AMIN = 1e-10
 STATS4 = ["mean", "std", "max", "min"]
@@ -95,7 +96,7 @@ def mel_basis(spark: SparkSession, bins: int, n_mels: int, sample_rate: int = 22
             w = max(0.0, min((f - lo) / (mid - lo), (hi - f) / (hi - mid))) * 2.0 / (hi - lo)
             if w > 0:
                 rows.append((b, m, w))
-    return spark.createDataFrame(rows, "bin int, coef int, w double")
+    return small_table(spark, rows, "bin int, coef int, w double")
 
 
 def dct_basis(spark: SparkSession, n_in: int, n_out: int) -> DataFrame:
@@ -105,7 +106,7 @@ def dct_basis(spark: SparkSession, n_in: int, n_out: int) -> DataFrame:
         for k in range(n_out)
         for b in range(n_in)
     ]
-    return spark.createDataFrame(rows, "bin int, coef int, w double")
+    return small_table(spark, rows, "bin int, coef int, w double")
 
 
 def tonnetz_basis(spark: SparkSession) -> DataFrame:
@@ -116,7 +117,7 @@ def tonnetz_basis(spark: SparkSession) -> DataFrame:
     rows = [
         (p, k, radii[k] * math.cos(math.pi * (steps[k] * p - (0.5 if k % 2 == 0 else 0.0)))) for k in range(6) for p in range(12)
     ]
-    return spark.createDataFrame(rows, "bin int, coef int, w double")
+    return small_table(spark, rows, "bin int, coef int, w double")
 
 
 def coef_join(cells: DataFrame, basis: DataFrame) -> DataFrame:
@@ -320,7 +321,7 @@ def named_stats(stats: DataFrame, prefix: Column, columns: Sequence[str] = tuple
 
 def vector_assemble(named: DataFrame, names: Sequence[str]) -> DataFrame:
     """``(clip, name, value)`` -> one fixed-width ordered array per clip; clips missing a feature drop out."""
-    layout = named.sparkSession.createDataFrame([(n, i) for i, n in enumerate(names)], "name string, idx int")
+    layout = small_table(named.sparkSession, [(n, i) for i, n in enumerate(names)], "name string, idx int")
     picked = named.join(layout, "name").groupBy("clip", "idx").agg(F.first("value", ignorenulls=True).alias("value"))
     rows = picked.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("idx", "value"))).alias("s"))
     return rows.where(F.size("s") == len(names)).select("clip", F.transform("s", lambda v: v["value"]).alias("features"))

@@ -16,6 +16,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, functions as F
 
 from cadenza.functions.text import tokens
+from cadenza.session import small_table
 
 
 def as_features(df: DataFrame, x: str = "x") -> DataFrame:
@@ -90,7 +91,7 @@ def fit_predict(estimator, train: DataFrame, test: DataFrame, id_col: str = "vec
 def importances(model, spark) -> DataFrame:
     """``(idx, importance)`` of a tree ensemble."""
     v = model.featureImportances.toArray()
-    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(v)], "idx int, importance double")
+    return small_table(spark, [(i, float(s)) for i, s in enumerate(v)], "idx int, importance double")
 
 
 def cluster(df: DataFrame, id_col: str, x: str = "x", k: int = 4, seed: int = 42) -> tuple[DataFrame, float]:
@@ -110,7 +111,7 @@ def tune(train: DataFrame, grid: Sequence[float], folds: int = 3, x: str = "x")
     fit = as_features(train, x).select("features", "label").cache()
     model = cv.fit(fit)
     fit.unpersist()
-    return train.sparkSession.createDataFrame([(float(g), float(a)) for g, a in zip(grid, model.avgMetrics)], "reg_param double, accuracy double")
+    return small_table(train.sparkSession, [(float(g), float(a)) for g, a in zip(grid, model.avgMetrics)], "reg_param double, accuracy double")
 
 
 def lyrics_pipeline(estimator, label: str, buckets: int = 1 << 14) -> Pipeline:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from cadenza.functions.hashing import hash_fraction, seeded_hash
 from cadenza.functions.text import normal_name
 from cadenza.operators.ordered import hash_ranked
+from cadenza.session import sized
 
 
 def standard_scale(df: DataFrame, columns: Sequence[str], fit_on: Column | None = None) -> DataFrame:
@@ -100,7 +101,7 @@ def label_encode(df: DataFrame, label: str, code: str = "code") -> DataFrame:
 
     names = df.select(label).where(F.col(label).isNotNull()).distinct()
     ranked = chunk_scan(names, [], [F.col(label)], F.substring(label, 1, 2), number=code)
-    return df.join(ranked.withColumn(code, (F.col(code) - 1).cast("int")), label, "left")
+    return df.join(sized(ranked.select(label, (F.col(code) - 1).cast("int").alias(code))), label, "left")
 
 
 def impute_missing(df: DataFrame, columns: Sequence[str], group: str) -> DataFrame:
@@ -108,7 +109,7 @@ def impute_missing(df: DataFrame, columns: Sequence[str], group: str) -> DataFra
     clean = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in columns})
     overall = clean.agg(F.struct(*[F.avg(c).alias(c) for c in columns])).scalar()
     means = clean.groupBy(group).agg(*[F.avg(c).alias(f"_m_{c}") for c in columns])
-    out = clean.join(means, group, "left")
+    out = clean.join(sized(means), group, "left")
     filled = {c: F.coalesce(F.col(c), F.col(f"_m_{c}"), overall[c]) for c in columns}
     return out.withColumns(filled).drop(*[f"_m_{c}" for c in columns])
 

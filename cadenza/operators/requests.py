@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cadenza.session import small_table
+
 REQUEST_SCHEMA = (
     "type string, artist string, seed bigint, query string, k int, match array<string>, include array<string>, "
     "exclude struct<genre: array<string>, year_range: array<array<int>>>"
@@ -121,7 +123,7 @@ ROUTE_WORDS = [
 
 
 def _lexicon(df: DataFrame, words: list[tuple], schema: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(words, schema)
+    return small_table(df.sparkSession, words, schema)
 
 
 def vibe_weights(prompts: DataFrame, id_col: str, tokens: Column) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cadenza.session import small_table
+
 
 def decision_scores(df: DataFrame, model: DataFrame, x: str = "x") -> DataFrame:
     """Adds ``scores``: ``w . x + b`` per class, from a ``(label, w[], b)`` model of one row per class."""
@@ -70,4 +72,4 @@ def train_ovr(train: DataFrame, label: str = "label", x: str = "x", c: float = 1
         w = w - rate / (1 + 0.02 * step) * (keep - c * push)
     data.unpersist()
     rows = [(int(k), [float(v) for v in w[i, :-1]], float(w[i, -1])) for i, k in enumerate(classes)]
-    return train.sparkSession.createDataFrame(rows, "label int, w array<double>, b double")
+    return small_table(train.sparkSession, rows, "label int, w array<double>, b double")

@@ -9,7 +9,7 @@ from cadenza.operators import audio, rhythm
 from cadenza.plans.analytics import rounded
 from cadenza.plans.catalogue import r6
 from cadenza.plans.registry import query
-from cadenza.session import scratch_path
+from cadenza.session import scratch_path, small_table
 from cadenza.sources import files
 
 BINS, MELS, COEFS = 8, 6, 4  # size of the spectra in the given tables
@@ -328,7 +328,7 @@ _NAMES = " ".join(f"when {i} then '{n}'" for i, n in enumerate(audio.feature_lay
     f"with {_VECTOR} select cast(idx as int) as idx, case idx {_NAMES} end as name, count(*) as clips, round(avg(value),4) as mean from vec group by 1, 2",
 )
 def feature_names(c):
-    names = c.spark.createDataFrame(list(enumerate(audio.feature_layout("basic"))), "idx int, name string")
+    names = small_table(c.spark, list(enumerate(audio.feature_layout("basic"))), "idx int, name string")
     long = _basic(c).select("clip", F.posexplode("features").alias("idx", "value"))
     return long.join(names, "idx").groupBy("idx", "name").agg(F.count("*").alias("clips"), F.round(F.avg("value"), 4).alias("mean"))
 

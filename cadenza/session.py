@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int = 8, partitions: int | None = None, memory: str = "12g") -> SparkSession:
@@ -49,6 +53,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def small_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A parameter table (basis, lexicon, start nodes) whose size Spark knows.
+
+    A DataFrame built from Python rows has no known size, so joining it would first shuffle the big
+    side. One built from Arrow is a local relation, which Spark broadcasts by its own size limit.
+    """
+    fields = StructType.fromDDL(schema)
+    columns = list(zip(*rows)) if rows else [[] for _ in fields]
+    arrow = to_arrow_schema(fields)
+    table = pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+    return spark.createDataFrame(table, schema=fields)
+
+
+def sized(df: DataFrame, bound: int = 10_000) -> DataFrame:
+    """A category table as a local relation if it has at most ``bound`` rows, else unchanged.
+
+    Spark estimates an aggregate as large as its input, so it would shuffle the big side of the join by
+    category before it learns better. The row count is checked first; beyond it the shuffle join stays.
+    """
+    got = df.limit(bound + 1).toArrow()
+    return df if got.num_rows > bound else df.sparkSession.createDataFrame(got, schema=df.schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and go on from it.
 

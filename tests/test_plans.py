@@ -36,3 +36,9 @@ def test_flagship_reads_only_what_it_uses_and_keeps_k_rows(spark):
 def test_filter_reaches_the_scan(spark):
     p = plan(spark, "songs_by_artist")
     assert "EqualTo(p_brand,Brand#5)" in p and "p_size" not in p
+
+
+@pytest.mark.parametrize("name", ["mel_bands", "mfcc", "coef_join", "vibe_weights", "impute_missing", "label_encode"])
+def test_parameter_tables_are_broadcast_by_size(spark, name):
+    p = plan(spark, name)
+    assert "BroadcastHashJoin" in p and "Exchange hashpartitioning(bin" not in p
