@@ -6,6 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.packing import pack_documents
+from cadenza.llm.shards import shard_report
+from cadenza.llm.urls import judge_urls
+from cadenza.session import small_table
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,13 +39,42 @@ def word_tokenizer() -> str:
 
 @query("op6_bpe_round_trip")
 def bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cadenza.llm.bpe import round_trip_digests
-
     return round_trip_digests(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 @query("op9_best_fit_packing")
 def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from cadenza.llm.packing import pack_documents
-
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer())
+
+
+URL_RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def _urls_sql() -> str:
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+    return f"""
+with rest as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as r from pages),
+split as (select page_id, translate(regexp_extract(r, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) as path from rest),
+rules(r_host, r_path, verdict) as (values {rules}),
+seen as (select host, path, max_by(r_host || r_path, length(r_host || r_path)) as rule, max_by(verdict, length(r_host || r_path)) as verdict
+  from (select distinct host, path from split) join rules
+  on (host = r_host or ends_with(host, '.' || r_host)) and starts_with(path, r_path) group by host, path)
+select page_id, split.host, split.path, rule, coalesce(verdict, 'allow') as verdict from split left join seen on split.host = seen.host and split.path = seen.path"""
+
+
+@query("op2_url_filters", _urls_sql())
+def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = small_table(spark, URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op5_histogram_shards")
+def histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
