@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.fingerprints import edited_report
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.shards import shard_report
 from cadenza.llm.urls import judge_urls
@@ -78,3 +79,8 @@ def url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_histogram_shards")
 def histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_winnowed_fingerprints")
+def winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_report(table(spark, sf_dir, "documents"))
