@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.bpe import round_trip_digests
 from cadenza.llm.fingerprints import edited_report
+from cadenza.llm.licences import RULES, SENTENCES, default_sentences, rule_patterns, scan_licences
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.shards import shard_report
 from cadenza.llm.urls import judge_urls
@@ -84,3 +85,30 @@ def histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_winnowed_fingerprints")
 def winnowed_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_report(table(spark, sf_dir, "documents"))
+
+
+def _licences_sql() -> str:
+    up, low = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    known = ", ".join(f"({quoted(i)}, {quoted(s)})" for i, s in SENTENCES)
+    norm = lambda c: f"trim(regexp_replace(translate({c}, '{up}', '{low}'), '[^a-z0-9]+', ' ', 'g'))"
+    # RE2 has no lookahead: ends of sentences are marked with a line break first
+    marked = "regexp_replace(regexp_replace(text, '[.!?:;]+([ \t\r\f\v]|\n|$)', '\n', 'g'), ',\\s+(either version)', '\n\\1', 'g')"
+    steps, left, names = "", "s0", []
+    for i, (name, pattern) in enumerate(rule_patterns(RULES)):
+        steps += f", s{i + 1} as (select *, case when contains(left_{i}, '{pattern}') then '{name}' end as r{i}, replace(left_{i}, '{pattern}', '~') as left_{i + 1} from {left})"
+        left = f"s{i + 1}"
+        names.append(f"r{i}")
+    return f"""
+with told as (select min(i) as sentence_id, {norm('s')} as sentence from (values {known}) k(i, s) group by 2),
+parts as (select doc_id, list_filter(list_transform(string_split({marked}, chr(10)), lambda x: {norm('x')}), lambda x: x <> '') as p from documents),
+spread as (select doc_id, unnest(p) as sentence, generate_subscripts(p, 1) as place from parts),
+found as (select doc_id, place, sentence_id, lag(place) over (partition by doc_id order by place) as prev from spread join told using (sentence)),
+s0 as (select doc_id, count(*) as n_sentences, string_agg(case when place > prev + 1 then '~' else '' end || '<' || sentence_id || '>', '' order by place) as sentence_ids,
+  sentence_ids as left_0 from found group by doc_id){steps}
+select doc_id, n_sentences, sentence_ids, nullif(array_to_string(list_sort(list_distinct(list_filter([{', '.join(names)}], lambda x: x is not null))), ' '), '') as licences from {left}"""
+
+
+@query("op7_licence_rules", _licences_sql())
+def licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents"), default_sentences(spark), RULES)
