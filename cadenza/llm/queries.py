@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from cadenza.llm.bpe import round_trip_digests
 from cadenza.llm.fingerprints import edited_report
+from cadenza.llm.language import identify_documents
 from cadenza.llm.licences import RULES, SENTENCES, default_sentences, rule_patterns, scan_licences
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.shards import shard_report
+from cadenza.llm.toxicity import grade_documents
 from cadenza.llm.urls import judge_urls
 from cadenza.session import small_table
 
@@ -112,3 +114,13 @@ select doc_id, n_sentences, sentence_ids, nullif(array_to_string(list_sort(list_
 @query("op7_licence_rules", _licences_sql())
 def licence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents"), default_sentences(spark), RULES)
+
+
+@query("op1_language")
+def language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op10_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
