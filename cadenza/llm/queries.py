@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm.bpe import round_trip_digests
 from cadenza.llm.fingerprints import edited_report
@@ -12,6 +12,7 @@ from cadenza.llm.language import identify_documents
 from cadenza.llm.licences import RULES, SENTENCES, default_sentences, rule_patterns, scan_licences
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.shards import shard_report
+from cadenza.llm.topk import top_k
 from cadenza.llm.toxicity import grade_documents
 from cadenza.llm.urls import judge_urls
 from cadenza.session import small_table
@@ -124,3 +125,19 @@ def language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_toxicity")
 def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query(
+    "op3_bit_sliced_top_k",
+    """
+with v as (select vec_id, list_transform(embedding, lambda c: cast(floor(1024 * cast(c as double)) as bigint)) as x from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+  and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0),
+p as (select q.vec_id as query_id, v.vec_id, cast(list_sum(list_transform(list_zip(q.x, v.x), lambda z: z[1] * z[2])) as bigint) as score
+  from v q join v on q.vec_id % 100 = 0 and q.vec_id <> v.vec_id and len(q.x) = len(v.x)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p)
+select query_id, rank, vec_id, score from r where rank <= 10""",
+)
+def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
