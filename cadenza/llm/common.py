@@ -30,6 +30,23 @@ def map_columns(df: DataFrame, columns: Sequence[str], schema: str, make: Callab
     return df.select(*names).mapInArrow(run, schema)
 
 
+def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable], rows: int = 2048) -> DataFrame:
+    """Keep whole rows, with all their columns, by a decision on one column.
+
+    ``make`` is called once per task and returns a function from a list of values to a list of booleans.
+    """
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = make()
+        for batch in batches:
+            for start in range(0, batch.num_rows, rows):
+                part = batch.slice(start, rows)
+                yield part.filter(pa.array(decide(part.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def per_process(key: str, make: Callable[[], object]):
     """What ``make`` returns, made once in a worker process and kept for its later tasks."""
     store = sys.__dict__.setdefault("_cadenza_llm", {})

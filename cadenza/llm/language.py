@@ -14,7 +14,7 @@ import re
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cadenza.llm.common import map_columns, per_process
+from cadenza.llm.common import keep_rows, map_columns, per_process
 from cadenza.session import small_table
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -143,6 +143,12 @@ def training_samples(docs: DataFrame, learn: Column, label: str = "lang", text:
     return {language: (found, counts[language]) for language, parts in samples.items() if (found := " ".join(p for p in parts if p)[:most])}
 
 
+def _parser(samples: dict[str, tuple[str, int]]) -> Parser:
+    """The automata of these samples, built once in a worker process."""
+    mark = hashlib.md5(repr(sorted(samples.items())).encode("utf-8", "surrogatepass")).hexdigest()
+    return per_process(mark, lambda: Parser(samples))
+
+
 def identify(docs: DataFrame, samples: dict[str, tuple[str, int]], keys: str = "doc_id bigint", text: str = "text") -> DataFrame:
     """Judge by samples from ``training_samples``: fewest phrases, the share of a language among labelled rows decides near-ties.
 
@@ -155,9 +161,7 @@ def identify(docs: DataFrame, samples: dict[str, tuple[str, int]], keys: str = "
     names = [k.split()[0] for k in keys.split(",")]
 
     def make():
-        told = shared.value
-        mark = hashlib.md5(repr(sorted(told.items())).encode("utf-8", "surrogatepass")).hexdigest()
-        parser = per_process(mark, lambda: Parser(told))
+        parser = _parser(shared.value)
 
         def work(*columns):
             found = parser.judge(columns[-1])
@@ -168,6 +172,17 @@ def identify(docs: DataFrame, samples: dict[str, tuple[str, int]], keys: str = "
     return map_columns(docs, [*names, text], f"{keys}, lang_pred string, score double, bits double", make, rows=2048)
 
 
+def in_a_language(docs: DataFrame, samples: dict[str, tuple[str, int]], least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has letters and one likeliest language with at least ``least`` probability."""
+    shared = docs.sparkSession.sparkContext.broadcast(samples)
+
+    def make():
+        parser = _parser(shared.value)
+        return lambda texts: [language != "und" and chance >= least for language, chance, _ in parser.judge(texts)]
+
+    return keep_rows(docs, text, make)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 

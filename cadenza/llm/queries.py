@@ -13,6 +13,7 @@ from cadenza.llm.licences import RULES, SENTENCES, default_sentences, rule_patte
 from cadenza.llm.packing import pack_documents
 from cadenza.llm.shards import shard_report
 from cadenza.llm.topk import top_k
+from cadenza.llm.shingle_join import near_classes
 from cadenza.llm.toxicity import grade_documents
 from cadenza.llm.urls import judge_urls
 from cadenza.session import small_table
@@ -141,3 +142,8 @@ select query_id, rank, vec_id, score from r where rank <= 10""",
 def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), 10)
+
+
+@query("op8_shingle_join")
+def shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(table(spark, sf_dir, "documents"), words=3, percent=90)

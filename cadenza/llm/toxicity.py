@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from cadenza.llm.common import map_columns
+from cadenza.llm.common import keep_rows, map_columns
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -142,33 +142,49 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, each: int = 2000, grades: i
     return Ordinal(dict(zip(kept.tolist(), weights.tolist())), cuts.tolist(), bits)
 
 
-def grade(docs: DataFrame, model: Ordinal, keys: str = "doc_id bigint", text: str = "text", most: int = 300_000) -> DataFrame:
+class Grader:
+    """Scores of texts under a model; the weight of each word is worked out once."""
+
+    def __init__(self, model: Ordinal, most: int = 300_000):
+        self.model, self.most, self.known = model, most, {}
+        self.cuts = np.array(model.thresholds)
+
+    def weight(self, word: str) -> float:
+        if word not in self.known:
+            if len(self.known) >= self.most:
+                self.known.clear()
+            self.known[word] = self.model.word_weight(word)
+        return self.known[word]
+
+    def above(self, texts: list[str | None]) -> np.ndarray:
+        """P(severity > j) for every text and threshold j."""
+        score = np.zeros(len(texts))
+        for i, text in enumerate(texts):
+            counts = word_counts(text)
+            found = sorted((w, v * n) for w, n in counts.items() if (v := self.weight(w)))
+            score[i] = scale(counts.total()) * sum(v for _, v in found)
+        return 1.0 - _sigmoid(self.cuts[None, :] - score[:, None])
+
+
+def _shared(docs: DataFrame, model: Ordinal):
+    return docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.bits))
+
+
+def grade(docs: DataFrame, model: Ordinal, keys: str = "doc_id bigint", text: str = "text") -> DataFrame:
     """``keys`` with ``toxic`` (P(severity > 0) of a half or more), ``severity`` (likeliest grade), ``expected_severity`` and ``p_toxic``.
 
     Every word of the whole text counts. Null and empty texts have no feature; repeated rows get equal answers.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.bits))
+    shared = _shared(docs, model)
     names = [k.split()[0] for k in keys.split(",")]
 
     def make():
-        told, known = Ordinal(*shared.value), {}
-        cuts = np.array(told.thresholds)
-
-        def weight(word: str) -> float:
-            value = told.word_weight(word)
-            if len(known) >= most:
-                known.clear()
-            known[word] = value
-            return value
+        grader = Grader(Ordinal(*shared.value))
 
         def work(*columns):
-            score = np.zeros(len(columns[-1]))
-            for i, text in enumerate(columns[-1]):
-                counts = word_counts(text)
-                found = sorted((w, v * n) for w, n in counts.items() if (v := known[w] if w in known else weight(w)))
-                score[i] = scale(counts.total()) * sum(v for _, v in found)
-            above = 1.0 - _sigmoid(cuts[None, :] - score[:, None])
-            chance = -np.diff(np.concatenate([np.ones((len(score), 1)), above, np.zeros((len(score), 1))], axis=1), axis=1)
+            above = grader.above(columns[-1])
+            ones, none = np.ones((len(above), 1)), np.zeros((len(above), 1))
+            chance = -np.diff(np.concatenate([ones, above, none], axis=1), axis=1)
             return [*columns[:-1], above[:, 0] >= 0.5, chance.argmax(axis=1).astype(np.int32), above.sum(axis=1), above[:, 0]]
 
         return work
@@ -176,6 +192,17 @@ def grade(docs: DataFrame, model: Ordinal, keys: str = "doc_id bigint", text: st
     return map_columns(docs, [*names, text], f"{keys}, toxic boolean, severity int, expected_severity double, p_toxic double", make)
 
 
+def without_toxic(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
+    """The rows, with all their columns, that the model does not call toxic."""
+    shared = _shared(docs, model)
+
+    def make():
+        grader = Grader(Ordinal(*shared.value))
+        return lambda texts: (grader.above(texts)[:, 0] < 0.5).tolist()
+
+    return keep_rows(docs, text, make)
+
+
 def grade_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     graded = grade(docs, fit_toxicity(docs, labels))
     return graded.select("doc_id", "toxic", "severity", F.round("expected_severity", 6).alias("expected_severity"), F.round("p_toxic", 6).alias("p_toxic"))
