@@ -56,7 +56,7 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 class Parser:
-    """Automata of all languages as one table of moves; a move that ends a phrase has its low bit set."""
+    """Automata of all languages as one table of moves; its two low bits count the phrases that a move ends."""
 
     def __init__(self, learned: dict[str, tuple[str, int]]):
         samples = {language: text for language, (text, _) in learned.items()}
@@ -75,9 +75,11 @@ class Parser:
             for state, moves in enumerate(states):
                 for c, to in moves.items():
                     table[state, at[c]] = to * self.width
-            # no move: the phrase ends, the next begins with this symbol; a symbol never seen is a phrase of its own
-            again = np.where(table[0] < 0, 0, table[0])
-            self.tables.append(np.where(table < 0, again << 1 | 1, table << 1).astype(np.int32).ravel())
+            # no move: the phrase ends and the next begins with this symbol; a symbol never seen is a phrase of its own
+            never = table[0] < 0
+            ended = np.where(table < 0, 1 + never, 0)
+            ended[0] = never
+            self.tables.append((np.where(table < 0, np.where(never, 0, table[0]), table) << 2 | ended).astype(np.int32).ravel())
             self.bits.append(math.log2(len(samples[language]) + 2))
 
     def phrases(self, texts: list[str], stretch: int = 1024) -> np.ndarray:
@@ -104,8 +106,8 @@ class Parser:
             for t in range(sizes[0]):
                 n = live[t]
                 move = table[state[:n] + lanes[t, :n]]
-                ended[:n] += move & 1
-                state[:n] = move >> 1
+                ended[:n] += move & 3
+                state[:n] = move >> 2
             counts[:, j] = np.bincount(owner, weights=ended + (state > 0), minlength=len(texts))
         return counts
 

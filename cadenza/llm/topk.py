@@ -156,8 +156,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, *, key: str = "vec_id"
                 out = []
                 for query, weights in zip(np.frombuffer(q_ids, dtype=np.int64), np.frombuffer(q, dtype=np.int64).reshape(-1, dim)):
                     # a negative weight takes the complement of its attribute, so that all summands are positive
-                    used = planes.copy() if (weights < 0).any() else planes
-                    used[weights < 0] = ~used[weights < 0]
+                    used = np.where((weights < 0)[:, None, None], ~planes, planes)
                     flipped = np.where(weights < 0, (1 << bits) - 1, 0)
                     base = int((weights * low).sum() + (weights * flipped).sum())
                     slices = add_slices(used, weights)
