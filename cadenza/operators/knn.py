@@ -17,17 +17,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from cadenza.operators.ranking import top_k
 from cadenza.session import cut_lineage
 
 BOUND = 8192  # rows a side may have to be sent to every task
+BYTES = 64 << 20  # and bytes
 
 
 def _matrix(col) -> np.ndarray:
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    widths = np.diff(col.offsets.to_numpy()) if len(col) else np.zeros(0)
+    if len(widths) and (widths != widths[0]).any():
+        raise ValueError(f"vectors of unequal length: {int(widths.min())} and {int(widths.max())}")
     return flat.reshape(len(col), -1)
 
 
@@ -121,12 +126,12 @@ def knn(
     sc = queries.sparkSession.sparkContext
     arrow = pa.schema([("q", _arrow(qs, "q")), ("c", _arrow(cs, "c")), ("distance", pa.float64()), ("rank", pa.int64())])
 
-    small = cs.limit(bound + 1).toArrow()
-    if small.num_rows <= bound:
+    small = _small(cs, bound)
+    if small is not None:
         out = _send_candidates(qs, small, sc, k, metric, exclude_self, schema, arrow)
     else:
-        small = qs.limit(bound + 1).toArrow()
-        if small.num_rows <= bound:
+        small = _small(qs, bound)
+        if small is not None:
             partial = _send_queries(cs, small, sc, k, metric, exclude_self, schema, arrow)
         else:
             partial = _grid(qs, cs, k, metric, exclude_self, schema, block)
@@ -134,6 +139,14 @@ def knn(
     return out.select(F.col("q").alias(query_id), F.col("c").alias(candidate_id), "distance", "rank")
 
 
+def _small(df: DataFrame, bound: int) -> pa.Table | None:
+    """A side as a local table if it has at most ``bound`` rows and ``BYTES`` bytes, else None."""
+    width = df.select(F.max(F.size("v"))).first()[0] or 0
+    rows = min(bound, BYTES // (8 * (width + 2)))
+    got = df.limit(rows + 1).toArrow()
+    return got if got.num_rows <= rows else None
+
+
 def _arrow(df: DataFrame, name: str) -> pa.DataType:
     return {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[_type(df, name)]
 
@@ -144,7 +157,7 @@ def _to_batch(pdf: pd.DataFrame, arrow: pa.Schema) -> pa.RecordBatch:
 
 def _send_candidates(qs, table, sc, k, metric, exclude_self, schema, arrow) -> DataFrame:
     if table.num_rows == 0:
-        return qs.where("false").selectExpr("q", "cast(null as " + schema.split(", c ")[1].split(",")[0] + ") c", "0D distance", "1L rank")
+        return qs.where("false").select("q", F.lit(None).cast(StructType.fromDDL(schema)["c"].dataType).alias("c"), F.lit(0.0).alias("distance"), F.lit(1).cast("bigint").alias("rank"))
     w = _matrix(table.column("w")) if "w" in table.column_names else None
     side = sc.broadcast((_ids(table.column("c")), _matrix(table.column("v")), w))
 

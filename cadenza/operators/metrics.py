@@ -103,9 +103,9 @@ def hard_vote(ballots: DataFrame, id_col: str, pred: str = "pred") -> DataFrame:
 
 
 def importance_by_category(importances: DataFrame, categories: Mapping[str, Sequence[int]]) -> DataFrame:
-    """Summed importance per feature category and its percentage, largest first."""
+    """Summed importance per feature category and its percentage of all, largest first; positions in no category are ``Other``."""
     pairs = [x for name, idx in categories.items() for i in idx for x in (F.lit(i), F.lit(name))]
-    named = importances.withColumn("category", F.try_element_at(F.create_map(*pairs), F.col("idx"))).where("category is not null")
+    named = importances.withColumn("category", F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("idx")), F.lit("Other")))
     per = named.groupBy("category").agg(F.sum("importance").alias("importance"))
     total = named.agg(F.sum("importance").alias("t")).scalar()
     return per.withColumn("percentage", F.col("importance") / total * 100).orderBy(F.desc("importance"), "category")
@@ -169,7 +169,7 @@ def service_metrics(log: DataFrame) -> DataFrame:
 def throughput(log: DataFrame) -> DataFrame:
     """Requests and mean latency per hour, counted from the start of 2024."""
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    hour = F.timestamp_diff("HOUR", start, F.col("ts")).alias("hour_no")
+    hour = F.timestamp_diff("HOUR", start, F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz")).alias("hour_no")
     return log.groupBy(hour).agg(F.count("*").alias("n"), F.avg("latency_ms").alias("mean_latency"))
 
 

@@ -30,8 +30,6 @@ def classifier(name: str, n: int | None = None, **params):
     reg = 1.0 / (c * n) if n else 1.0 / c
     if name in ("svm_linear", "svm_rbf", "svm_poly"):
         return OneVsRest(classifier=LinearSVC(regParam=reg, standardization=False, maxIter=params.pop("maxIter", 50), **params), parallelism=4)
-    if name == "svm_scratch":
-        return OneVsRest(classifier=LinearSVC(regParam=1.0 / c, standardization=False, maxIter=params.pop("maxIter", 50)), parallelism=4)
     if name == "logreg":
         return LogisticRegression(family="multinomial", regParam=reg, standardization=False, maxIter=params.pop("maxIter", 100), **params)
     if name == "random_forest":

@@ -77,20 +77,15 @@ def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, tie: str, *,
 
 
 def with_halo(df: DataFrame, keys: Sequence[str], position: str, before: int, after: int, size: int = 4096) -> tuple[DataFrame, object]:
-    """Copy rows near a chunk border into the neighbouring chunk.
+    """Copy rows near a chunk border into every other chunk that looks at them.
 
     Returns the rows with ``_own`` (false for a copy) and a window ordered by position. A window
     function that looks at most ``before`` positions back and ``after`` ahead is exact on own rows.
     """
-    p, s = F.col(position), F.lit(size)
+    p, s = F.col(position), F.lit(max(size, before + after))
     c = F.floor(p / s).cast("bigint")
-    homes = F.array_compact(
-        F.array(
-            c,
-            F.when(p >= (c + 1) * s - before, c + 1),
-            F.when(p < c * s + after, c - 1),
-        )
-    )
+    # the positions that look at this one reach from ``after`` before it to ``before`` behind it
+    homes = F.sequence(F.floor((p - after) / s).cast("bigint"), F.floor((p + before) / s).cast("bigint"))
     out = df.withColumn("_chunk", F.explode(homes)).withColumn("_own", F.col("_chunk") == c)
     return out, W.partitionBy(*keys, "_chunk").orderBy(position)
 

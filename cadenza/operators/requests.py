@@ -17,15 +17,32 @@ REQUEST_TYPES = ["playlist", "similarity", "lyrics_search", "classify"]
 REQUEST_FEATURES = ["tempo", "energy", "valence", "danceability", "key", "mode"]
 
 
+def weight_entries(match: Column) -> Column:
+    """``["energy: 0.6"]`` -> ``[{energy, 0.6}]``; a bare feature name weighs 1, an unreadable weight is null."""
+    return F.transform(
+        F.filter(F.coalesce(match, F.array().cast("array<string>")), lambda m: m.isNotNull()),
+        lambda m: F.struct(
+            F.lower(F.trim(F.split(m, ":")[0])).alias("key"),
+            F.when(~F.contains(m, F.lit(":")), F.lit(1.0)).otherwise(F.trim(F.try_element_at(F.split(m, ":", 2), F.lit(2))).try_cast("double")).alias("value"),
+        ),
+    )
+
+
 def weight_map(match: Column) -> Column:
-    """``["energy: 0.6"]`` -> ``{energy: 0.6}``; a bare feature name weighs 1."""
-    return F.map_from_entries(
-        F.transform(
-            F.coalesce(match, F.array().cast("array<string>")),
-            lambda m: F.struct(
-                F.lower(F.trim(F.split(m, ":")[0])).alias("key"),
-                F.coalesce(F.try_element_at(F.split(m, ":"), F.lit(2)).try_cast("double"), F.lit(1.0)).alias("value"),
-            ),
+    """The readable weights by feature; of a feature named twice the first weight counts."""
+    entries = F.filter(weight_entries(match), lambda e: e["value"].isNotNull())
+    names = F.transform(entries, lambda e: e["key"])
+    return F.map_from_entries(F.filter(entries, lambda e, i: F.array_position(names, e["key"]) == i + 1))
+
+
+def weight_faults(match: Column) -> Column:
+    """What is wrong with a list of weights: null entries, features named twice, weights that are no numbers."""
+    names = F.transform(weight_entries(match), lambda e: e["key"])
+    return F.array_compact(
+        F.array(
+            F.when(F.exists(match, lambda m: m.isNull()), "empty feature"),
+            F.when(F.size(F.array_distinct(names)) < F.size(names), "duplicate feature"),
+            F.when(F.exists(weight_entries(match), lambda e: e["value"].isNull()), "bad weight"),
         )
     )
 
@@ -42,6 +59,7 @@ def parse_requests(docs: DataFrame, doc: str = "doc") -> DataFrame:
         F.col("_p.query").alias("query"),
         F.col("_p.k").alias("k"),
         weight_map(F.col("_p.match")).alias("weights"),
+        weight_faults(F.col("_p.match")).alias("weight_faults"),
         F.col("_p.include").alias("include"),
         F.col("_p.exclude.genre").alias("exclude_genre"),
         F.col("_p.exclude.year_range").alias("exclude_years"),
@@ -60,6 +78,7 @@ def validate_requests(parsed: DataFrame, types: Sequence[str] = REQUEST_TYPES, f
                 F.when(~F.col("valid_json"), "malformed"),
                 F.when(F.col("valid_json") & ~F.col("type").isin(list(types)), "unknown type"),
                 F.when(F.col("valid_json") & (F.coalesce(F.col("k"), F.lit(0)) <= 0), "k must be positive"),
+                *[F.when(F.array_contains("weight_faults", e), e) for e in ("empty feature", "duplicate feature", "bad weight")],
                 F.when(F.size(F.array_except(names, known)) > 0, "unknown feature"),
                 F.when(F.exists(values, lambda v: v < 0), "negative weight"),
                 F.when(
@@ -74,9 +93,11 @@ def validate_requests(parsed: DataFrame, types: Sequence[str] = REQUEST_TYPES, f
 
 def parse_constraint_list(docs: DataFrame, text: str) -> DataFrame:
     """``key = value`` lines -> typed parameters."""
-    m = F.transform_values(
-        F.transform_keys(F.str_to_map(F.col(text), F.lit("\n"), F.lit("=")), lambda k, _: F.lower(F.trim(k))), lambda _, v: F.trim(v)
-    )
+    parts = F.transform(F.split(F.col(text), "\n"), lambda line: F.split(line, "=", 2))
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(p[0])).alias("key"), F.trim(F.try_element_at(p, F.lit(2))).alias("value")))
+    names = F.transform(pairs, lambda e: e["key"])
+    # of a key written twice the first line counts
+    m = F.map_from_entries(F.filter(pairs, lambda e, i: F.array_position(names, e["key"]) == i + 1))
     years = F.split(F.try_element_at(F.col("_m"), F.lit("exclude_year")), "-")
 
     def listed(name: str) -> Column:

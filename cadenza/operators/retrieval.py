@@ -84,13 +84,16 @@ def resolve_entities(names: DataFrame, name: str, depth: int = 2) -> DataFrame:
 def rag_context(hits: DataFrame, docs: DataFrame, query_id: str, doc_id: str, budget: int, text: str = "text") -> DataFrame:
     """Whole passages in rank order, each with its source id, as many as fit the character budget.
 
-    ``hits`` hold at most k rows per query, so a query's window and list are bounded.
+    ``hits`` hold at most k rows per query, so a query's window and list are bounded. A query whose first
+    passage is longer than the budget keeps its row, with no passage.
     """
     full = hits.join(docs.select(doc_id, text), doc_id)
     order = W.partitionBy(query_id).orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    fit = full.withColumn("used", F.sum(F.length(text)).over(order)).where(F.col("used") <= budget)
+    fit = full.withColumn("used", F.sum(F.length(text)).over(order)).withColumn("fits", F.col("used") <= budget)
     piece = F.concat(F.lit("["), F.col(doc_id).cast("string"), F.lit("] "), F.col(text))
-    rows = fit.groupBy(query_id).agg(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))).alias("s"), F.max("used").alias("used"))
+    rows = fit.groupBy(query_id).agg(
+        F.array_sort(F.collect_list(F.when(F.col("fits"), F.struct("rank", piece.alias("p"))))).alias("s"), F.coalesce(F.max(F.when(F.col("fits"), F.col("used"))), F.lit(0)).cast("bigint").alias("used")
+    )
     return rows.select(query_id, F.size("s").cast("bigint").alias("passages"), "used", F.array_join(F.transform("s", lambda x: x["p"]), "\n").alias("context"))
 
 

@@ -168,6 +168,8 @@ def context_window(turns: DataFrame, budget: int, last: int | None = None) -> Da
     return out.drop("_back")
 
 
-def mean_vectors(items: DataFrame, keys: Sequence[str], vector: str, dim: int) -> DataFrame:
-    """Component-wise mean vector per key, combined map-side."""
-    return items.groupBy(*keys).agg(F.array(*[F.avg(F.col(vector)[i].cast("double")) for i in range(dim)]).alias("v"))
+def mean_vectors(items: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
+    """Component-wise mean vector per key, combined map-side, as wide as the vectors are."""
+    long = items.select(*keys, F.posexplode(vector).alias("_i", "_x"))
+    means = long.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
+    return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s")).select(*keys, F.col("_s._m").alias("v"))

@@ -121,11 +121,12 @@ def knn_join(c):
 
 @query(
     "exclude_seen",
-    "select event_id, user_id, song_id from (select event_id, user_id, event_id % 200 as song_id from events) r "
+    "select event_id, user_id, song_id from (select event_id, user_id, event_id % (select count(*) from part) as song_id from events) r "
     "where not exists (select 1 from plays p where p.user_id = r.user_id and p.song_id = r.song_id)",
 )
 def exclude_seen(c):
-    shown = c.table("events").select("event_id", "user_id", (F.col("event_id") % 200).alias("song_id"))
+    many = c.table("part").agg(F.count("*")).scalar()
+    shown = c.table("events").select("event_id", "user_id", (F.col("event_id") % many).alias("song_id"))
     return shown.join(c.plays.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti").select("event_id", "user_id", "song_id")
 
 
@@ -427,7 +428,6 @@ def vote_hard(c):
     return metrics.hard_vote(c.ballots, "vec_id")
 
 
-_GENRES_N = "(select unnest(genres) as genre, tempo, song_id from songs)"
 
 
 @query(
@@ -547,7 +547,7 @@ CATEGORIES = {
 
 @query(
     "importance_by_category",
-    f"with {_IMP}, c as (select case idx // 4 " + " ".join(f"when {i} then '{n}'" for i, n in enumerate(CATEGORIES)) + " end as category, importance from imp where idx < 25) "
+    f"with {_IMP}, c as (select case " + " ".join(f"when idx between {min(r)} and {max(r)} then '{n}'" for n, r in CATEGORIES.items()) + " else 'Other' end as category, importance from imp) "
     "select category, round(sum(importance),6) as importance, round(sum(importance) / (select sum(importance) from c) * 100,6) as percentage from c group by 1",
 )
 def importance_by_category(c):

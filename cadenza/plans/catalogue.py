@@ -41,9 +41,13 @@ def scan_catalog(c):
     )
 
 
-@query("scan_labeled_files")
+@query("scan_labeled_files", "select lang as label, count(*) as documents from documents where lang is not null group by 1")
 def scan_labeled_files(c):
-    return files.scan_labeled_files(c.spark, c.path, "*.parquet")
+    root = scratch_path(c.spark, "labelled")
+    c.table("documents").where("lang is not null").select("doc_id", "lang").withColumn("label", F.col("lang")).write.partitionBy("label").parquet(root)
+    found = files.scan_labeled_files(c.spark, root, "*.parquet").select(F.element_at(F.split("label", "="), -1).alias("label")).distinct()
+    read = c.spark.read.parquet(root).groupBy("lang").agg(F.count("*").alias("documents"))
+    return found.join(read.withColumnRenamed("lang", "label"), "label").select("label", "documents")
 
 
 @query(
@@ -310,7 +314,6 @@ def min_length_filter(c):
     return filters.long_enough(c.lyrics.select("song_id", n.alias("n")), F.col("n"), 100)
 
 
-_GAP = "case when isnan({0}) then null else {0} end"
 
 
 @query(

@@ -165,7 +165,7 @@ def ensemble_vote(c):
 def feature_importance(c):
     train, test = splits(c)
     model, _ = models.fit_predict(models.classifier("random_forest", numTrees=40, maxDepth=6), train, test)
-    return models.importances(model, c.spark).orderBy(F.desc("importance"), F.desc("idx")).limit(20)
+    return models.importances(model, c.spark).orderBy(F.desc("importance"), F.desc("idx"))
 
 
 @query("model_persist")
@@ -182,9 +182,9 @@ def lyrics_classify(c):
     words = models.with_words(c.lyrics.select("song_id", "text", "lang")).drop("text")
     rows = cut_lineage(stratified_split(words, "song_id", "lang"))
     train, test = rows.where("split = 'train'"), rows.where("split <> 'train'")
-    out = []
+    out, n = [], train.count()
     for name, params in {"naive_bayes": {}, "logreg": {"maxIter": 20}, "random_forest": {"numTrees": 20, "maxDepth": 6}}.items():
-        p = models.lyrics_pipeline(models.classifier(name, 1000, **params), "lang").fit(train).transform(test)
+        p = models.lyrics_pipeline(models.classifier(name, n, **params), "lang").fit(train).transform(test)
         cm = metrics.confusion_matrix(p.select(F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred")))
         rep = metrics.classification_report(cm).where("label in ('accuracy', 'macro avg')")
         out.append(rep.select(F.lit(name).alias("model"), "label", "f1", "support"))

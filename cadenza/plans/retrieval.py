@@ -104,10 +104,10 @@ def lyrics_similar(c):
 @query(
     "rag_context",
     f"with {_KEYWORD}, f as (select item_id, song_id, rank, l.text, sum(length(l.text)) over (partition by item_id order by rank) as used from hits join lyrics l using (song_id)) "
-    "select item_id, count(*) as passages, cast(max(used) as bigint) as used, string_agg('[' || song_id || '] ' || text, chr(10) order by rank) as context from f where used <= 40000 group by 1",
+    "select item_id, count(*) filter (used <= 20000) as passages, cast(coalesce(max(used) filter (used <= 20000), 0) as bigint) as used, coalesce(string_agg('[' || song_id || '] ' || text, chr(10) order by rank) filter (used <= 20000), '') as context from f group by 1",
 )
 def rag_context(c):
-    return retrieval.rag_context(_keyword_hits(c), c.lyrics, "item_id", "song_id", 40000)
+    return retrieval.rag_context(_keyword_hits(c), c.lyrics, "item_id", "song_id", 20000)
 
 
 # ---- vectors --------------------------------------------------------------------------------
@@ -258,10 +258,10 @@ def related_path(c):
 
 @query(
     "shortest_path",
-    f"with recursive {_UND}, bfs(node, hops) as (select 'artist:Brand#5', 0 union select u.dst, b.hops + 1 from bfs b join und u on u.src = b.node where b.hops < 6) select node, cast(min(hops) as int) as hops from bfs group by 1",
+    f"with recursive {_UND}, bfs(node, hops) using key (node) as (select 'artist:Brand#5', 0 union select u.dst, b.hops + 1 from bfs b join und u on u.src = b.node where not exists (select 1 from recurring.bfs r where r.node = u.dst)) select node, cast(hops as int) as hops from bfs",
 )
 def shortest_path(c):
-    return graph.shortest_paths(c.edges, "artist:Brand#5", 6)
+    return graph.shortest_paths(c.edges, "artist:Brand#5")
 
 
 @query(
@@ -281,15 +281,15 @@ def _pagerank_sql(rounds: int) -> str:
     for i in range(1, rounds + 1):
         p = f"r{i - 1}"
         parts.append(
-            f"r{i} as (select ids.id, 0.15::double / (select count(*) from ids) + 0.85::double * (coalesce(f.s, 0) + (select coalesce(sum(rank), 0) from {p} where id not in (select src from od)) / (select count(*) from ids)) as rank "
+            f"r{i} as materialized (select ids.id, 0.15::double / (select count(*) from ids) + 0.85::double * (coalesce(f.s, 0) + (select coalesce(sum(rank), 0) from {p} where id not in (select src from od)) / (select count(*) from ids)) as rank "
             f"from ids left join (select e.dst as id, sum({p}.rank / od.deg) as s from edges e join od on od.src = e.src join {p} on {p}.id = e.src group by 1) f on f.id = ids.id)"
         )
     return "with " + ", ".join(parts) + f" select id, round(rank,12) as rank from r{rounds}"
 
 
-@query("pagerank", _pagerank_sql(5))
+@query("pagerank", _pagerank_sql(20))
 def pagerank(c):
-    return graph.pagerank(c.edges, 5).withColumn("rank", F.round("rank", 12))
+    return graph.pagerank(c.edges, 20).withColumn("rank", F.round("rank", 12))
 
 
 def _labels_sql(rounds: int) -> str:
@@ -301,9 +301,9 @@ def _labels_sql(rounds: int) -> str:
     return "with " + ", ".join(parts) + f" select id, label from l{rounds}"
 
 
-@query("communities", _labels_sql(3))
+@query("communities", _labels_sql(5))
 def communities(c):
-    return graph.communities(c.edges, 3)
+    return graph.communities(c.edges, 5)
 
 
 @query(
@@ -338,27 +338,27 @@ def artist_jaccard(c):
 
 @query(
     "genre_hierarchy",
-    "with recursive t(ancestor, descendant, depth) as (select parent, child, 1 from hierarchy union select t.ancestor, h.child, t.depth + 1 from t join hierarchy h on h.parent = t.descendant where t.depth < 16) "
+    "with recursive t(ancestor, descendant, depth) as (select parent, child, 1 from hierarchy union select t.ancestor, h.child, t.depth + 1 from t join hierarchy h on h.parent = t.descendant) "
     "select ancestor, descendant, cast(min(depth) as int) as depth from t group by 1, 2",
 )
 def genre_hierarchy(c):
     return graph.hierarchy_closure(c.hierarchy)
 
 
-_INFL = "infl as (select distinct 'u' || o_custkey as src, 'u' || ((o_custkey * 7 + o_orderkey) % 1500) as dst from orders)"
+_INFL = "infl as (select distinct 'u' || o_custkey as src, 'u' || ((o_custkey * 7 + o_orderkey) % (select count(*) from customer)) as dst from orders)"
 
 
 @query(
     "influence_reach",
-    f"with recursive {_INFL}, t(node, hops) as (select 'u7', 0 union select i.dst, t.hops + 1 from t join infl i on i.src = t.node where t.hops < 8) select node, cast(min(hops) as int) as hops from t group by 1",
+    f"with recursive {_INFL}, t(node, hops) using key (node) as (select 'u7', 0 union select i.dst, t.hops + 1 from t join infl i on i.src = t.node where not exists (select 1 from recurring.t r where r.node = i.dst)) select node, cast(hops as int) as hops from t",
 )
 def influence_reach(c):
-    o = c.table("orders")
+    o, people = c.table("orders"), c.table("customer").agg(F.count("*")).scalar()
     links = o.select(
         F.concat(F.lit("u"), F.col("o_custkey").cast("string")).alias("src"),
-        F.concat(F.lit("u"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % 1500).cast("string")).alias("dst"),
+        F.concat(F.lit("u"), ((F.col("o_custkey") * 7 + F.col("o_orderkey")) % people).cast("string")).alias("dst"),
     )
-    return graph.reach(links, ["u7"], 8)
+    return graph.reach(links, ["u7"])
 
 
 @query(

@@ -9,7 +9,7 @@ from cadenza.operators import audio, rhythm
 from cadenza.plans.analytics import rounded
 from cadenza.plans.catalogue import r6
 from cadenza.plans.registry import query
-from cadenza.session import scratch_path, small_table
+from cadenza.session import cut_lineage, scratch_path, small_table
 from cadenza.sources import files
 
 BINS, MELS, COEFS = 8, 6, 4  # size of the spectra in the given tables
@@ -372,7 +372,7 @@ def tempo_result(c):
 
 @query("tempo_batch", _RESULT)
 def tempo_batch(c):
-    env = _envelope(c).cache()
+    env = cut_lineage(_envelope(c))
 
     def compute(clips: DataFrame) -> DataFrame:
         todo = env.join(clips.select("clip"), "clip", "left_semi")
@@ -475,7 +475,7 @@ def context_window(c):
 
 @query(
     "followup_similar",
-    f"with {_session_sql(172800)}, it as (select user_id, session, cast(e.embedding as double[]) as v from sess join embeddings e on e.vec_id = event_id % 500), "
+    f"with {_session_sql(172800)}, it as (select user_id, session, cast(e.embedding as double[]) as v from sess join embeddings e on e.vec_id = event_id % (select count(*) from embeddings)), "
     "m as (select user_id, session, list(a order by i) as v from (select user_id, session, i, avg(x) as a from (select user_id, session, generate_subscripts(v,1) as i, unnest(v) as x from it) group by 1, 2, 3) group by 1, 2), "
     "r as (select user_id, cast(session as bigint) as session, vec_id, row_number() over (partition by user_id, session order by round(1 - list_cosine_similarity(v, cast(embedding as double[])),9), vec_id) as rank from m, embeddings) "
     "select user_id, session, vec_id, rank from r where rank <= 3",
@@ -484,8 +484,9 @@ def followup_similar(c):
     from cadenza.operators.knn import knn
 
     sess = rhythm.session_split(c.requests, gap_seconds=172800)
-    items = sess.select("user_id", "session", (F.col("event_id") % 500).alias("vec_id")).join(c.vectors, "vec_id")
-    means = rhythm.mean_vectors(items, ["user_id", "session"], "embedding", 64)
+    many = c.vectors.agg(F.count("*")).scalar()
+    items = sess.select("user_id", "session", (F.col("event_id") % many).alias("vec_id")).join(c.vectors, "vec_id")
+    means = rhythm.mean_vectors(items, ["user_id", "session"], "embedding")
     q = means.select(F.concat_ws(":", "user_id", "session").alias("q"), "v")
     near = knn(q, c.vectors.select(F.col("vec_id"), F.col("embedding").alias("v")), 3, candidate_id="vec_id", metric="cosine")
     parts = F.split("q", ":")

@@ -27,10 +27,13 @@ def cached_features(inputs: DataFrame, id_col: str, path: str, compute: Callable
     """Compute features only for ids the cache lacks, append them, and read the whole cache."""
     spark = inputs.sparkSession
     try:
-        known = spark.read.parquet(path).select(id_col)
-        todo = inputs.join(known, id_col, "left_anti")
-    except AnalysisException:
+        known = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         todo = inputs
+    else:
+        todo = inputs.join(known.select(id_col), id_col, "left_anti")
     compute(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path).join(inputs.select(id_col), id_col, "left_semi")
 
