@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from cadenza.functions.hashing import hash_fraction
 from cadenza.operators.graph import connected_components
 from cadenza.operators.joins import deletion_variants
 from cadenza.operators.knn import knn
@@ -21,15 +20,33 @@ def semantic_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: s
     return near.select(query_id, item_id, (1 - F.col("distance")).alias("cosine"), "rank")
 
 
-def lsh_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, vector: str = "v", reach: float = 1.5, bucket: float = 1.0, tables: int = 6, seed: int = 42) -> DataFrame:
-    """Approximate neighbours: random-projection buckets, then exact distances of bucket mates only."""
-    q = queries.select(query_id, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    c = items.select(item_id, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(c)
-    pairs = model.approxSimilarityJoin(q, c, reach, "distance")
-    flat = pairs.select(F.col(f"datasetA.{query_id}").alias(query_id), F.col(f"datasetB.{item_id}").alias(item_id), F.round("distance", 9).alias("distance"))
-    flat = flat.where(F.col(query_id) != F.col(item_id))
-    return top_k(flat, [query_id], [F.col("distance"), F.col(item_id)], k)
+def sign_codes(df: DataFrame, id_col: str, vector: str, bits: int, tables: int, seed: int = 42) -> DataFrame:
+    """``(id, table, code)``: the signs of ``bits`` random projections per table; the planes come from md5, alike in every engine."""
+    x = df.select(id_col, F.posexplode(vector).alias("i", "x")).select(id_col, "i", F.col("x").cast("double").alias("x"))
+    planes = [[hash_unit(f"{t}:{b}:{{}}:{seed}") for b in range(bits)] for t in range(tables)]
+    sums = [F.sum(F.col("x") * plane(F.col("i"))).alias(f"p{t}_{b}") for t, row in enumerate(planes) for b, plane in enumerate(row)]
+    per = x.groupBy(id_col).agg(*sums)
+    code = lambda t: F.concat(*[F.when(F.round(f"p{t}_{b}", 9) >= 0, "1").otherwise("0") for b in range(bits)])
+    return per.select(id_col, F.posexplode(F.array(*[code(t) for t in range(tables)])).alias("table", "code"))
+
+
+def hash_unit(pattern: str):
+    """A function of a position column: a number in [-1, 1) from the md5 of ``pattern`` with the position filled in."""
+    head, tail = pattern.split("{}")
+    return lambda i: hash_fraction(F.md5(F.concat(F.lit(head), i.cast("string"), F.lit(tail)))) * 2 - 1
+
+
+def lsh_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, vector: str = "v", bits: int = 4, tables: int = 16, seed: int = 42) -> DataFrame:
+    """Approximate neighbours: items that share a sign code with the query in some table, then exact distances, no cut-off.
+
+    More rows ask for more ``bits``: their expected number per code is rows / 2 ** bits.
+    """
+    q, c = sign_codes(queries, query_id, vector, bits, tables, seed), sign_codes(items, item_id, vector, bits, tables, seed)
+    mates = q.join(c, ["table", "code"]).where(F.col(query_id) != F.col(item_id)).select(query_id, item_id).distinct()
+    vectors = lambda df, i, v: df.select(i, F.col(vector).cast("array<double>").alias(v))
+    met = mates.join(vectors(queries, query_id, "_q"), query_id).join(vectors(items, item_id, "_c"), item_id)
+    apart = F.aggregate(F.zip_with("_q", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    return top_k(met.select(query_id, item_id, F.round(F.sqrt(apart), 9).alias("distance")), [query_id], [F.col("distance"), F.col(item_id)], k)
 
 
 def recall_at_k(exact: DataFrame, approximate: DataFrame, query_id: str, item_id: str) -> DataFrame:

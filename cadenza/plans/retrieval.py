@@ -169,18 +169,33 @@ def _ann(c, k=10):
     return retrieval.lsh_search(_query_vectors(c), v, k, query_id="item_id", item_id="item")
 
 
-@query("ann_search")
+_ANN = (
+    "px as (select vec_id, cast(generate_subscripts(embedding,1)-1 as int) as i, cast(unnest(embedding) as double) as x from embeddings), "
+    "pl as (select t.range as t, b.range as b, i.range as i, cast(('0x' || substr(md5(t.range || ':' || b.range || ':' || i.range || ':42'),1,8)) as bigint) / 4294967296.0::double * 2 - 1 as w from range(16) t, range(4) b, range(64) i), "
+    "cd as (select vec_id, t, string_agg(case when round(s,9) >= 0 then '1' else '0' end, '' order by b) as code from (select vec_id, t, b, sum(x*w) as s from px join pl using (i) group by 1, 2, 3) group by 1, 2), "
+    "mt as (select distinct q.vec_id as item_id, c.vec_id as item from cd q join cd c using (t, code) where q.vec_id in (select item_id from benchmark) and q.vec_id <> c.vec_id), "
+    "ds as (select item_id, item, round(sqrt(sum((a.x-b.x)**2)),9) as distance from mt join px a on a.vec_id = item_id join px b on b.vec_id = item and b.i = a.i group by 1, 2), "
+    "an as (select * from (select *, row_number() over (partition by item_id order by distance, item) as rank from ds) where rank <= 10)"
+)
+
+
+@query("ann_search", f"with {_ANN} select item_id, item, round(distance,6) as distance, rank from an")
 def ann_search(c):
-    return _ann(c)
+    return rounded(_ann(c), "distance").withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("ann_recall")
+@query(
+    "ann_recall",
+    f"with {_ANN}, ex as (select * from (select item_id, item, row_number() over (partition by item_id order by distance, item) as rank from (select a.vec_id as item_id, b.vec_id as item, round(sqrt(sum((a.x-b.x)**2)),9) as distance "
+    "from px a join px b on a.i = b.i and a.vec_id <> b.vec_id where a.vec_id in (select item_id from benchmark) group by 1, 2)) where rank <= 10) "
+    "select count(*) as wanted, count(an.item) as found, round(count(an.item) / count(*)::double,6) as recall from ex left join an on an.item_id = ex.item_id and an.item = ex.item",
+)
 def ann_recall(c):
     from cadenza.operators.knn import knn
 
     v = c.vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
     exact = knn(_query_vectors(c), v, 10, query_id="item_id", candidate_id="item", exclude_self=True)
-    return retrieval.recall_at_k(exact, _ann(c), "item_id", "item")
+    return rounded(retrieval.recall_at_k(exact, _ann(c), "item_id", "item"), "recall")
 
 
 @query(
