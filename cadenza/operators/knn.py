@@ -36,7 +36,7 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
-def _distances(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, metric: str) -> np.ndarray:
+def _distances(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, metric: str, qw: np.ndarray | None = None) -> np.ndarray:
     if metric == "cosine":
         with np.errstate(divide="ignore", invalid="ignore"):
             qn = q / np.sqrt((q * q).sum(1, keepdims=True))
@@ -45,18 +45,19 @@ def _distances(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, metric: str)
     out = np.zeros((len(q), len(c)))
     for j in range(q.shape[1]):
         d = q[:, j, None] - c[None, :, j]
-        out += d * d if w is None else w[None, :, j] * d * d
+        scale = (1.0 if w is None else w[None, :, j]) * (1.0 if qw is None else qw[:, j, None])
+        out += scale * d * d
     return np.sqrt(out)
 
 
-def block_top_k(qid, q, cid, c, w, k, metric, exclude_self) -> pd.DataFrame:
+def block_top_k(qid, q, cid, c, w, k, metric, exclude_self, qw=None) -> pd.DataFrame:
     """The k nearest candidates of every query of a block; ties by candidate id."""
     order = np.argsort(cid, kind="stable")
     cid, c, w = cid[order], c[order], None if w is None else w[order]
     parts = []
     step = max(1, 4_000_000 // max(1, len(c)))
     for s in range(0, len(q), step):
-        d = _distances(q[s : s + step], c, w, metric)
+        d = _distances(q[s : s + step], c, w, metric, None if qw is None else qw[s : s + step])
         d[np.isnan(d)] = np.inf
         if exclude_self:
             at = pd.Index(cid).get_indexer(qid[s : s + step])
@@ -109,6 +110,7 @@ def knn(
     candidate_id: str = "c",
     vector: str = "v",
     weight: str | None = None,
+    query_weight: str | None = None,
     metric: str = "euclidean",
     exclude_self: bool = False,
     bound: int = BOUND,
@@ -116,11 +118,11 @@ def knn(
 ) -> DataFrame:
     """``(query_id, candidate_id, distance, rank)`` of the k nearest candidates of every query.
 
-    ``weight`` names an array column of the candidates that scales each squared difference.
+    ``weight`` names an array column of the candidates, ``query_weight`` one of the queries, that scales each squared difference.
     Distances carry nine decimals and ties go to the smaller id.
     """
     extra = [F.col(weight).alias("w")] if weight else []
-    qs = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    qs = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"), *([F.col(query_weight).cast("array<double>").alias("qw")] if query_weight else []))
     cs = candidates.where(F.col(vector).isNotNull()).select(F.col(candidate_id).alias("c"), F.col(vector).cast("array<double>").alias("v"), *extra)
     schema = f"q {_type(qs, 'q')}, c {_type(cs, 'c')}, distance double, rank bigint"
     sc = queries.sparkSession.sparkContext
@@ -165,22 +167,22 @@ def _send_candidates(qs, table, sc, k, metric, exclude_self, schema, arrow) -> D
         cid, c, w = side.value
         for b in batches:
             if b.num_rows:
-                yield _to_batch(block_top_k(_ids(b.column("q")), _matrix(b.column("v")), cid, c, w, k, metric, exclude_self), arrow)
+                yield _to_batch(block_top_k(_ids(b.column("q")), _matrix(b.column("v")), cid, c, w, k, metric, exclude_self, _matrix(b.column("qw")) if "qw" in b.schema.names else None), arrow)
 
     return qs.mapInArrow(run, schema)
 
 
 def _send_queries(cs, table, sc, k, metric, exclude_self, schema, arrow) -> DataFrame:
-    side = sc.broadcast((_ids(table.column("q")), _matrix(table.column("v"))))
+    side = sc.broadcast((_ids(table.column("q")), _matrix(table.column("v")), _matrix(table.column("qw")) if "qw" in table.column_names else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, q = side.value
+        qid, q, qw = side.value
         best = None
         for b in batches:
             if not b.num_rows or not len(qid):
                 continue
             w = _matrix(b.column("w")) if "w" in b.schema.names else None
-            new = block_top_k(qid, q, _ids(b.column("c")), _matrix(b.column("v")), w, k, metric, exclude_self)
+            new = block_top_k(qid, q, _ids(b.column("c")), _matrix(b.column("v")), w, k, metric, exclude_self, qw)
             both = new if best is None else pd.concat([best, new])
             best = both.sort_values(["q", "distance", "c"]).groupby("q", sort=False).head(k)
         if best is not None:
@@ -208,7 +210,7 @@ def _grid(qs, cs, k, metric, exclude_self, schema, block) -> DataFrame:
             return pd.DataFrame({"q": [], "c": [], "distance": [], "rank": []})
         w = np.vstack(right["w"]) if weighted else None
         return block_top_k(
-            left["q"].to_numpy(), np.vstack(left["v"]), right["c"].to_numpy(), np.vstack(right["v"]), w, k, metric, exclude_self
+            left["q"].to_numpy(), np.vstack(left["v"]), right["c"].to_numpy(), np.vstack(right["v"]), w, k, metric, exclude_self, np.vstack(left["qw"]) if "qw" in left else None
         )
 
     return q.groupBy("_qb", "_cb").cogroup(c.groupBy("_qb", "_cb")).applyInPandas(run, schema)

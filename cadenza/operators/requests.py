@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from cadenza.session import small_table
+from cadenza.operators.knn import knn
+from cadenza.session import cut_lineage, small_table
 
 REQUEST_SCHEMA = (
     "type string, artist string, seed bigint, query string, k int, match array<string>, include array<string>, "
@@ -91,6 +92,23 @@ def validate_requests(parsed: DataFrame, types: Sequence[str] = REQUEST_TYPES, f
     )
 
 
+def run_similarity(requests: DataFrame, profiles: DataFrame, features: Sequence[str], request: str, by: str = "artist") -> DataFrame:
+    """``(request, neighbour, distance, rank)``: the k most similar artists of every valid request, all requests in one plan.
+
+    ``requests`` come from ``validate_requests``, ``profiles`` hold one scaled row per artist. Each request has its own
+    artist, k and weights; features that it does not name weigh nothing, and without any weight all weigh 1.
+    """
+    weights = F.array(*[F.when(F.size("weights") == 0, 1.0).otherwise(F.coalesce(F.try_element_at("weights", F.lit(f)), F.lit(0.0))) for f in features])
+    asked = requests.where(F.size("errors") == 0).select(request, by, "k", weights.alias("qw"))
+    packed = profiles.select(by, F.array(*features).alias("v"))
+    queries = cut_lineage(asked.join(packed, by))
+    most = queries.agg(F.max("k")).first()[0] or 0
+    near = knn(queries, packed.withColumnRenamed(by, "neighbour"), most + 1, query_id=request, candidate_id="neighbour", query_weight="qw").drop("rank")
+    others = near.join(queries.select(request, by, "k"), request).where(F.col("neighbour") != F.col(by))
+    ranked = others.withColumn("rank", F.row_number().over(W.partitionBy(request).orderBy("distance", "neighbour")).cast("bigint"))
+    return ranked.where(F.col("rank") <= F.col("k")).select(request, "neighbour", "distance", "rank")
+
+
 def parse_constraint_list(docs: DataFrame, text: str) -> DataFrame:
     """``key = value`` lines -> typed parameters."""
     parts = F.transform(F.split(F.col(text), "\n"), lambda line: F.split(line, "=", 2))

@@ -615,6 +615,22 @@ def artist_similar(c):
     return rounded(_similar(c, 5), "distance")
 
 
+@query(
+    "request_similar",
+    _SIM.split(", r as")[0]
+    + ", q as (select event_id, 'Brand#' || (user_id % 25 + 1) as artist, event_id % 20 as k, (user_id % 10) / 10.0::double as we, (event_id % 10) / 10.0::double as wv from events "
+    "where event_type in ('view', 'click') and event_id % 20 > 0 and not (user_id % 10 = 0 and event_id % 10 = 0)), "
+    "s as (select event_id, k, b.artist as neighbour, round(sqrt(we * (a.energy - b.energy)**2 + wv * (a.valence - b.valence)**2),9) as d from q join z a using (artist) join z b on b.artist <> a.artist) "
+    "select event_id, neighbour, round(d,6) as distance, rank from (select *, row_number() over (partition by event_id order by d, neighbour) as rank from s) where rank <= k",
+)
+def request_similar(c):
+    from cadenza.operators import requests as rq
+
+    asked = rq.validate_requests(rq.parse_requests(c.request_docs), types=["view", "click"])
+    prof = c.songs.groupBy("artist").agg(*[F.avg(f).alias(f) for f in FEATURES])
+    return rounded(rq.run_similarity(asked, standard_scale(prof, FEATURES), FEATURES, "event_id"), "distance")
+
+
 def _cos_sql(feats, name):
     dot = " + ".join(f"a.{f}*b.{f}" for f in feats)
     na, nb = " + ".join(f"a.{f}**2" for f in feats), " + ".join(f"b.{f}**2" for f in feats)
