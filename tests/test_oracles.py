@@ -16,6 +16,7 @@ SAMPLE = [
     "same_genre_recommend", "knn_join", "tempo_band_join", "artist_profile", "artist_profile_median", "confusion_matrix", "classification_report",
     "tempo_genre_corr", "service_metrics", "fuse_rrf", "song_to_artist_knn", "mfcc", "vector_assemble", "tempo_result", "session_split", "tfidf",
     "keyword_search", "artist_jaccard", "entity_components", "shortest_path", "pagerank", "genre_hierarchy", "gnb", "mnb", "svm_loss",
+    "request_similar", "ann_recall", "influence_reach", "rag_context", "importance_by_category", "exclude_seen", "scan_labeled_files", "logreg", "model_persist",
 ]
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="test tables absent")
