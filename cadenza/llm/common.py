@@ -6,10 +6,12 @@ import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window as W, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from cadenza.session import cut_lineage, sized
+
 
 def map_columns(df: DataFrame, columns: Sequence[str], schema: str, make: Callable[[], Callable], rows: int = 512) -> DataFrame:
     """Run Python over Arrow batches, ``rows`` rows at a time.
@@ -47,6 +49,19 @@ def keep_rows(df: DataFrame, column: str, make: Callable[[], Callable], rows: in
     return df.mapInArrow(run, df.schema)
 
 
+def hashed_sample(rows: DataFrame, label: str, h: str, each: int) -> DataFrame:
+    """At most ``each`` rows per label, those of smallest hash.
+
+    Labels are counted first and only about twice as many rows as wanted, by hash, are ranked, so that no label
+    sends all its rows to one task. A label gets fewer only if its hashes are far from evenly spread.
+    """
+    rows, wide = cut_lineage(rows), 1 << 20
+    share = sized(rows.groupBy(label).agg(F.least(F.lit(1.0), F.lit(2.0 * each) / F.count("*")).alias("_share")))
+    low = rows.join(share, label).withColumn("_low", F.pmod(F.col(h), F.lit(wide))).where(F.col("_low") < F.ceil(F.col("_share") * wide))
+    rank = F.row_number().over(W.partitionBy(label).orderBy("_low", h))
+    return low.withColumn("_rank", rank).where(F.col("_rank") <= each).drop("_rank", "_share", "_low")
+
+
 def per_process(key: str, make: Callable[[], object]):
     """What ``make`` returns, made once in a worker process and kept for its later tasks."""
     store = sys.__dict__.setdefault("_cadenza_llm", {})

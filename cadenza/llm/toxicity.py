@@ -13,9 +13,9 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from cadenza.llm.common import keep_rows, map_columns
+from cadenza.llm.common import hashed_sample, keep_rows, map_columns
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -91,8 +91,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, each: int) -> list[tuple
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = docs.where("text is not null").select("doc_id", F.xxhash64("text").alias("h")).join(marks, "doc_id")
     classes = known.groupBy("h").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
-    ranked = classes.withColumn("n", F.row_number().over(W.partitionBy("toxic").orderBy("h"))).where(F.col("n") <= each)
-    chosen = ranked.select("doc_id", "h", F.col("toxic").alias("mark"))
+    chosen = hashed_sample(classes, "toxic", "h", each).select("doc_id", "h", F.col("toxic").alias("mark"))
     spark = docs.sparkSession
     few = spark.createDataFrame(chosen.toArrow(), schema=chosen.schema)  # bounded: 2 x each rows
     hit = docs.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("h")).join(few, ["doc_id", "h"])
