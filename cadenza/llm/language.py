@@ -12,9 +12,9 @@ import math
 import re
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from cadenza.llm.common import keep_rows, map_columns, per_process
+from cadenza.llm.common import hashed_sample, keep_rows, map_columns, per_process
 from cadenza.session import small_table
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -134,8 +134,7 @@ def training_samples(docs: DataFrame, learn: Column, label: str = "lang", text:
     """
     some = docs.where(learn & F.col(label).isNotNull() & (F.length(text) > 0)).select(F.col(label).alias("lang"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     counts = {r["lang"]: r["n"] for r in some.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    ranked = some.select("lang", "h").distinct().withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h")))
-    wanted = [(r["lang"], r["h"]) for r in ranked.where(F.col("n") <= rows_each).collect()]
+    wanted = [(r["lang"], r["h"]) for r in hashed_sample(some.select("lang", "h").distinct(), "lang", "h", rows_each).collect()]
     start = F.pmod(F.col("h"), F.greatest(F.length("text") - 2 * piece, F.lit(1))).cast("int") + 1
     hit = some.join(small_table(docs.sparkSession, wanted, "lang string, h bigint"), ["lang", "h"])
     rows = hit.groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(2 * piece))).alias("part")).collect()
