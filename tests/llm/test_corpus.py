@@ -338,6 +338,87 @@ def test_ordinal_gradient_descends_to_known_order():
     assert weights[0] > 1 and cuts[0] < cuts[1] and cuts[0] < weights[0] < cuts[1]
 
 
+GPL = """    This program is free software{mark} you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation{sep} either version {v} of the License, or
+    (at your option) any later version.
+"""
+WARRANTY = """
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+APACHE_REST = """You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+MIT_NOTICE = """
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+"""
+# one text per rule, in the order of RULES
+WRAPPED = [
+    APACHE + APACHE_REST, APACHE, BSD + BSD_ENDORSE + AS_IS, BSD + AS_IS,
+    GPL.format(mark=":", sep=",", v=3) + WARRANTY, GPL.format(mark=":", sep=",", v=3), GPL.format(mark=";", sep=";", v=2) + WARRANTY, GPL.format(mark=";", sep=";", v=2),
+    MIT + MIT_NOTICE, "Released under\nthe MIT License.", MIT, "Licensed under the Apache\nLicense, Version 2.0", "This work is licensed under the GNU General Public License, version\n3.",
+    "Licensed under CC\nBY-NC 4.0.", "Licensed under CC BY\n4.0.", "Licensed under\nCC BY-SA 4.0.",
+    "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.",
+]
+
+
+def test_full_wrapped_texts_of_every_rule(spark):
+    assert len(WRAPPED) == len(licences.RULES)
+    forms = [lambda t: "My project\nCopyright (c) 2020 A B\n" + t, lambda t: "\n".join(f" * {line}" for line in t.split("\n")), lambda t: t.replace("\n", "\r\n"), lambda t: re.sub(r"\s+", "\n", t)]
+    known = licences.default_sentences(spark)
+    texts = [form(t) for form in forms for t in WRAPPED]
+    # each rule alone, so that a shorter one cannot stand in for it
+    found = {r["doc_id"]: r["sentence_ids"] for r in licences.scan_licences(documents(spark, texts), known, licences.RULES).collect()}
+    for i in range(len(texts)):
+        assert licences.rule_patterns(licences.RULES)[i % len(WRAPPED)][1] in found[i], texts[i]
+    got = {r["doc_id"]: r["licences"] for r in licences.scan_licences(documents(spark, WRAPPED), known, licences.RULES).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(licences.RULES)}
+    lettered = re.sub(r"([123])\. ", r"(\1) ", BSD + BSD_ENDORSE)
+    assert [r["licences"] for r in licences.scan_licences(documents(spark, [lettered]), known, licences.RULES).collect()] == ["BSD-3-Clause"]
+
+
 def test_licences_follow_rule_order(spark):
     texts = [
         "Code.\nLicensed under the Apache License, Version 2.0.\nYou may not use this file except in compliance with the License.", "Released under the MIT License.", "none here", None, "",
