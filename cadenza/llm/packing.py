@@ -122,42 +122,92 @@ def swap(low: tuple[int, ...], high: tuple[int, ...], out: tuple[int, ...], back
     return tuple(sorted(a.elements(), reverse=True)), tuple(sorted(b.elements(), reverse=True))
 
 
+class Underfull:
+    """Patterns with room, by the lengths that they hold (0 for a bare move), the fullest first."""
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.by: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+        self.widest = np.full(capacity + 1, -1)
+
+    def put(self, pattern: tuple[int, ...], there: bool) -> None:
+        entry = (self.capacity - sum(pattern), pattern)
+        for y in {0, *pattern} if entry[0] else ():
+            held = self.by.setdefault(y, [])
+            at = bisect_left(held, entry)
+            found = at < len(held) and held[at] == entry
+            if there and not found:
+                held.insert(at, entry)
+            elif found and not there:
+                del held[at]
+            self.widest[y] = held[-1][0] if held else -1
+
+    def partner(self, low: tuple[int, ...], alone: bool) -> tuple[int, ...] | None:
+        """The fullest pattern, not emptier than ``low``, with which ``low`` has an exchange."""
+        limit = self.capacity - sum(low)
+        singles = np.unique(low)
+        i, j = np.triu_indices(len(singles), 1)
+        twice = [x for x, n in Counter(low).items() if n > 1]
+        sums = np.unique(np.concatenate([singles, singles[i] + singles[j], 2 * np.array(twice, dtype=np.int64), [4 * self.capacity]]))
+        lengths = np.arange(self.capacity + 1)
+        need = sums[np.searchsorted(sums, lengths, side="right")] - lengths
+        need[0] = singles[0]
+        best = None
+        for y in np.flatnonzero(need <= np.minimum(self.widest, limit)).tolist():
+            held = self.by[y]
+            for at in range(bisect_left(held, (int(need[y]),)), len(held)):
+                if held[at][0] > limit or best and held[at] >= best:
+                    break
+                if not (alone and held[at][1] == low):
+                    best = held[at]
+                    break
+        return best[1] if best else None
+
+
 def local_search(bins: Counter, capacity: int) -> Counter:
     """Empty the least filled bins by exchanges with other underfull bins.
 
-    Ends when the number of bins reaches the lower bound given by the total, or when the emptiest bin has no
+    A bin without an exchange is set aside for the next emptiest one, and looked at again once others have changed.
+    Ends when the number of bins reaches the lower bound given by the total, or when no two underfull bins have an
     exchange left. Exchanges of equal pairs of bins are made together, so the work follows the number of patterns.
     """
     bins = Counter({p: n for p, n in bins.items() if n})
-    fill = {p: sum(p) for p in bins}
-    total = sum(fill[p] * n for p, n in bins.items())
+    total = sum(sum(p) * n for p, n in bins.items())
     least, count = -(-total // capacity), sum(bins.values())
-    queue = [(fill[p], p) for p in bins if fill[p] < capacity]
+    under = Underfull(capacity)
+    for p in bins:
+        under.put(p, True)
+    queue = [(sum(p), p) for p in bins if sum(p) < capacity]
     heapq.heapify(queue)
-    while count > least and queue:
-        level, low = queue[0]
+    aside: list[tuple[int, tuple[int, ...]]] = []
+    changed = False
+    while count > least and (queue or changed):
+        if not queue:
+            queue, aside, changed = aside, [], False
+            heapq.heapify(queue)
+            continue
+        level, low = heapq.heappop(queue)
         if not bins.get(low):
-            heapq.heappop(queue)
             continue
-        others = sorted((p for p in bins if bins[p] and fill[p] < capacity and (p != low or bins[p] > 1)), key=lambda p: (-fill[p], p))
-        moved = None
-        for high in others:
-            if fill[high] >= level and (moved := exchange(low, high, capacity - fill[high])):
-                break
-        if not moved:
-            break
+        high = under.partner(low, bins[low] < 2)
+        if high is None:
+            aside.append((level, low))
+            continue
         times = bins[low] // 2 if high == low else min(bins[low], bins[high])
-        new_low, new_high = swap(low, high, *moved)
+        new_low, new_high = swap(low, high, *exchange(low, high, capacity - sum(high)))
+        changed = True
         bins[low] -= times
         bins[high] -= times
-        for pattern in (new_low, new_high):
-            if not pattern:
-                count -= times
-                continue
+        if not new_low:
+            count -= times
+        for pattern in filter(None, (new_low, new_high)):
+            if not bins[pattern] and sum(pattern) < capacity:
+                heapq.heappush(queue, (sum(pattern), pattern))
             bins[pattern] += times
-            fill[pattern] = sum(pattern)
-            if fill[pattern] < capacity:
-                heapq.heappush(queue, (fill[pattern], pattern))
+        for pattern in {low, high, new_low, new_high} - {()}:
+            under.put(pattern, bins[pattern] > 0)
+        if bins[low]:
+            heapq.heappush(queue, (level, low))
     return +bins
 
 

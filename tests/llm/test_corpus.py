@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -97,6 +97,22 @@ def test_local_search_reaches_what_best_fit_misses():
     assert dict(kept) == counts
 
 
+@pytest.mark.parametrize("low, high, n", [(400, 900, 300), (600, 800, 300), (500, 1000, 240)])
+def test_local_search_goes_on_when_the_emptiest_bin_is_stuck(low, high, n):
+    counts = dict(Counter(np.random.default_rng(0).integers(low, high + 1, n).tolist()))
+    first = packing.best_fit(counts, 2048)
+    better = packing.local_search(first, 2048)
+    kept = Counter()
+    for pattern, times in better.items():
+        assert sum(pattern) <= 2048
+        for length in pattern:
+            kept[length] += times
+    assert kept == counts and sum(better.values()) < sum(first.values())
+    if sum(better.values()) > -(-sum(k * v for k, v in counts.items()) // 2048):
+        open_bins = sorted((p for p in better.elements() if sum(p) < 2048), key=sum)
+        assert all(packing.exchange(a, b, 2048 - sum(b)) is None for i, a in enumerate(open_bins) for b in open_bins[i + 1 :])
+
+
 def test_exchange_prefers_the_fullest_outcome():
     assert packing.exchange((3, 2), (6,), 4) == ((3,), ())
     assert packing.exchange((5,), (4, 4), 1) == ((5,), (4,))
