@@ -13,7 +13,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationE
 from pyspark.ml.feature import HashingTF, IDF, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.text import tokens
 from cadenza.session import small_table
@@ -68,6 +68,15 @@ def random_monomials(df: DataFrame, x: str = "x", degree: int = 3, size: int = 5
     return _map_vectors(df, x, lift)
 
 
+def vector_statistics(x: str) -> Column:
+    """Mean, deviation, least, greatest and quartiles over all positions of a vector."""
+    n, ordered = F.size(x), F.array_sort(x)
+    mean = F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / n
+    deviation = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + (v - mean) * (v - mean)) / n)
+    quartiles = [F.element_at(ordered, F.ceil(n * q).cast("int")) for q in (0.25, 0.5, 0.75)]
+    return F.array(mean, deviation, F.array_min(x), F.array_max(x), *quartiles)
+
+
 def _map_vectors(df: DataFrame, x: str, fn) -> DataFrame:
     @F.pandas_udf("array<double>")
     def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -44,8 +44,11 @@ def told(preds: DataFrame) -> DataFrame:
 _TOLD = " select label, count(*) as support, true as above_majority from sp where split <> 'train' group by 1"
 
 
-def scored(df: DataFrame, model: str) -> DataFrame:
-    return df.agg(F.lit(model).alias("model"), F.avg((F.col("truth") == F.col("pred")).cast("double")).alias("accuracy"), F.count("*").alias("n"))
+def reported(preds: DataFrame) -> DataFrame:
+    """One row of accuracy, macro F1 and the number of rows."""
+    rep = metrics.classification_report(metrics.confusion_matrix(preds))
+    pick = lambda label, score: F.max(F.when(F.col("label") == label, F.col(score)))
+    return rep.agg(pick("accuracy", "f1").alias("accuracy"), pick("macro avg", "f1").alias("macro_f1"), pick("accuracy", "support").alias("n"))
 
 
 _GNB = (
@@ -230,21 +233,24 @@ def tune(c):
     return models.tune(train, [0.001, 0.01, 0.1]).select("reg_param", (F.col("accuracy") > share).alias("above_majority"))
 
 
-@query("compare_feature_sets", f"with {_SPLIT} select f as feature_set, (select count(*) from sp where split <> 'train') as n, true as above_majority from (values ('statistics'), ('positions')) v(f)")
+@query("compare_feature_sets")
 def compare_feature_sets(c):
+    """Statistics of the whole vector against all positions one by one."""
     train, test = splits(c)
     n = train.count()
     out = []
     share = test.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
-    # statistics of the first positions against all positions one by one
-    head = F.slice("x", 1, 2)
-    total = F.aggregate(head, F.lit(0.0), lambda s, v: s + v)
-    for name, made in (("statistics", F.array(total, F.array_min(head), F.array_max(head))), ("positions", F.col("x"))):
+    for name, made in (("statistics", models.vector_statistics("x")), ("positions", F.col("x"))):
         p = models.fit_predict(models.classifier("logreg", n), train.withColumn("x", made), test.withColumn("x", made))[1]
-        out.append(scored(p, name).select(F.col("model").alias("feature_set"), "n", (F.col("accuracy") > share).alias("above_majority")))
+        out.append(reported(p).select(F.lit(name).alias("feature_set"), "n", "accuracy", "macro_f1", (F.col("accuracy") > share).alias("above_majority")))
     return reduce(DataFrame.unionByName, out)
 
 
+@query("compare_feature_sets_check", f"with {_SPLIT} select f as feature_set, (select count(*) from sp where split <> 'train') as n, true as above_majority from (values ('statistics'), ('positions')) v(f)")
+def compare_feature_sets_check(c):
+    return compare_feature_sets(c).select("feature_set", "n", "above_majority")
+
+
 @query("cluster_songs", "select 4::bigint as clusters, count(*) as songs, true as apart from songs")
 def cluster_songs(c):
     from cadenza.operators.prep import standard_scale
