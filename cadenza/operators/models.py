@@ -10,12 +10,14 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, OneVsRest, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator, MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, StringIndexer
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.feature import HashingTF, IDF, Normalizer, StringIndexer
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.text import tokens
+from cadenza.operators.knn import knn
+from cadenza.operators.metrics import hard_vote
 from cadenza.session import small_table
 
 
@@ -121,16 +123,28 @@ def tune(train: DataFrame, grid: Sequence[float], folds: int = 3, x: str = "x")
     return small_table(train.sparkSession, [(float(g), float(a)) for g, a in zip(grid, model.avgMetrics)], "reg_param double, accuracy double")
 
 
+def lyrics_stages(label: str, buckets: int = 1 << 14) -> list:
+    """Words -> hashed TF-IDF, and the string label as a number."""
+    return [
+        StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
+        HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets),
+        IDF(inputCol="tf", outputCol="features"),
+    ]
+
+
 def lyrics_pipeline(estimator, label: str, buckets: int = 1 << 14) -> Pipeline:
     """Words -> hashed TF-IDF -> classifier; the label column is a string."""
-    return Pipeline(
-        stages=[
-            StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="skip"),
-            HashingTF(inputCol="words", outputCol="tf", numFeatures=buckets),
-            IDF(inputCol="tf", outputCol="features"),
-            estimator,
-        ]
-    )
+    return Pipeline(stages=[*lyrics_stages(label, buckets), estimator])
+
+
+def lyrics_knn(train: DataFrame, test: DataFrame, label: str, id_col: str, k: int = 5, buckets: int = 512) -> DataFrame:
+    """``(id, truth, pred)`` by vote of the k nearest training texts, on TF-IDF of unit length (order by cosine)."""
+    fit = Pipeline(stages=[*lyrics_stages(label, buckets), Normalizer(inputCol="features", outputCol="unit")]).fit(train)
+    lifted = lambda df: fit.transform(df).select(F.col(id_col), F.col("label").cast("int").alias("label"), vector_to_array("unit").alias("v"))
+    known, asked = lifted(train), lifted(test)
+    near = knn(asked.withColumnRenamed(id_col, "q"), known.withColumnRenamed(id_col, "c"), k)
+    votes = near.join(known.select(F.col(id_col).alias("c"), F.col("label").alias("pred")), "c").select(F.col("q").alias(id_col), "pred")
+    return asked.select(id_col, F.col("label").alias("truth")).join(hard_vote(votes, id_col), id_col)
 
 
 def with_words(lyrics: DataFrame, text: str = "text") -> DataFrame:

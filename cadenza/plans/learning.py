@@ -178,11 +178,16 @@ def ensemble_vote(c):
     return told(voted.join(test.select("vec_id", F.col("label").cast("int").alias("truth")), "vec_id"))
 
 
-@query("feature_importance", "select cast(count(*) as int) as positions, 1.0::double as total, true as first_two_lead from (select unnest(x) from labelled limit 64)")
+@query("feature_importance")
 def feature_importance(c):
     train, test = splits(c)
     model, _ = models.fit_predict(models.classifier("random_forest", numTrees=40, maxDepth=6), train, test)
-    ranked = models.importances(model, c.spark)
+    return models.importances(model, c.spark)
+
+
+@query("feature_importance_check", "select cast(count(*) as int) as positions, 1.0::double as total, true as first_two_lead from (select unnest(x) from labelled limit 64)")
+def feature_importance_check(c):
+    ranked = feature_importance(c)
     # the label is made of the first two positions, so these must come out on top
     lead = F.min(F.when(F.col("idx") < 2, F.col("importance"))) > F.max(F.when(F.col("idx") >= 2, F.col("importance")))
     return ranked.agg(F.count("*").cast("int").alias("positions"), F.round(F.sum("importance"), 6).alias("total"), lead.alias("first_two_lead"))
@@ -199,23 +204,36 @@ def model_persist(c):
     return out.join(fresh, "vec_id").groupBy("label").agg(F.count("*").alias("support"), F.bool_and(F.col("pred") == F.col("fresh")).alias("same"))
 
 
-@query("lyrics_classify", "with recursive m(model) as (values ('naive_bayes'), ('logreg'), ('random_forest')) select model, true as above_majority from m")
+@query("lyrics_classify")
 def lyrics_classify(c):
+    """Held-out scores of every model; ``best`` marks the one of greatest accuracy on the validation split."""
     words = models.with_words(c.lyrics.select("song_id", "text", "lang")).drop("text")
     rows = cut_lineage(stratified_split(words, "song_id", "lang"))
     train, test = rows.where("split = 'train'"), rows.where("split <> 'train'")
     out, n = [], train.count()
-    for name, params in {"naive_bayes": {}, "logreg": {"maxIter": 20}, "random_forest": {"numTrees": 20, "maxDepth": 6}}.items():
-        p = models.lyrics_pipeline(models.classifier(name, n, **params), "lang").fit(train).transform(test)
-        cm = metrics.confusion_matrix(p.select(F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred")))
-        rep = metrics.classification_report(cm).where("label in ('accuracy', 'macro avg')")
-        out.append(rep.select(F.lit(name).alias("model"), "label", "f1", "support"))
-    long = reduce(DataFrame.unionByName, out)
     share = test.groupBy("lang").count().agg(F.max("count") / F.sum("count")).scalar()
-    return long.groupBy("model").agg((F.max(F.when(F.col("label") == "accuracy", F.col("f1"))) > share).alias("above_majority"))
-
-
-@query("multilabel", "select label, true as below_majority_error from (values ('bright'), ('driving'), ('tonal')) v(label)")
+    settings = {"naive_bayes": {}, "logreg": {"maxIter": 20}, "random_forest": {"numTrees": 20, "maxDepth": 6}, "svm_linear": {}, "knn": {}}
+    for priority, (name, params) in enumerate(settings.items()):
+        if name == "knn":
+            p = models.lyrics_knn(train, test, "lang", "song_id")
+        else:
+            p = models.lyrics_pipeline(models.classifier(name, n, **params), "lang").fit(train).transform(test)
+            p = p.select("song_id", F.col("label").cast("int").alias("truth"), F.col("prediction").cast("int").alias("pred"))
+        p = cut_lineage(p)
+        val = p.join(test.where("split = 'val'").select("song_id"), "song_id", "left_semi").agg(F.avg((F.col("truth") == F.col("pred")).cast("double"))).scalar()
+        out.append(reported(p).select(F.lit(name).alias("model"), F.lit(priority).alias("priority"), "n", "accuracy", "macro_f1", val.alias("val_accuracy")))
+    scores = cut_lineage(reduce(DataFrame.unionByName, out))
+    best = metrics.best_model(scores, score="val_accuracy").select("model", F.lit(True).alias("best"))
+    scores = scores.join(best, "model", "left").withColumn("best", F.coalesce("best", F.lit(False)))
+    return scores.withColumn("above_majority", F.col("accuracy") > share).drop("priority")
+
+
+@query("lyrics_classify_check", "with recursive m(model) as (values ('naive_bayes'), ('logreg'), ('random_forest')) select model, true as above_majority from m")
+def lyrics_classify_check(c):
+    return lyrics_classify(c).where("model in ('naive_bayes', 'logreg', 'random_forest')").select("model", "above_majority")
+
+
+@query("multilabel")
 def multilabel(c):
     rows = stratified_split(c.labelled, "vec_id", "label").withColumns(
         {"bright": (F.col("x")[0] > 0).cast("int"), "driving": (F.col("x")[1] > 0).cast("int"), "tonal": (F.col("x")[2] > 0).cast("int")}
@@ -223,14 +241,24 @@ def multilabel(c):
     rows = cut_lineage(rows)
     preds = models.multilabel(rows.where("split = 'train'"), rows.where("split <> 'train'"), ["bright", "driving", "tonal"], "vec_id")
     rarer = preds.groupBy("label").agg(F.least(F.avg("truth"), 1 - F.avg("truth")).alias("rarer"))
-    return models.hamming_loss(preds).join(rarer, "label").select("label", (F.col("hamming_loss") < F.col("rarer")).alias("below_majority_error"))
+    return models.hamming_loss(preds).join(rarer, "label").select("label", "hamming_loss", (F.col("hamming_loss") < F.col("rarer")).alias("below_majority_error"))
+
 
+@query("multilabel_check", "select label, true as below_majority_error from (values ('bright'), ('driving'), ('tonal')) v(label)")
+def multilabel_check(c):
+    return multilabel(c).select("label", "below_majority_error")
 
-@query("tune", f"with {_SPLIT} select r as reg_param, true as above_majority from (values (0.001::double), (0.01::double), (0.1::double)) v(r)")
+
+@query("tune")
 def tune(c):
     train = splits(c)[0]
     share = train.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
-    return models.tune(train, [0.001, 0.01, 0.1]).select("reg_param", (F.col("accuracy") > share).alias("above_majority"))
+    return models.tune(train, [0.001, 0.01, 0.1]).select("reg_param", "accuracy", (F.col("accuracy") > share).alias("above_majority"))
+
+
+@query("tune_check", f"with {_SPLIT} select r as reg_param, true as above_majority from (values (0.001::double), (0.01::double), (0.1::double)) v(r)")
+def tune_check(c):
+    return tune(c).select("reg_param", "above_majority")
 
 
 @query("compare_feature_sets")
@@ -251,11 +279,19 @@ def compare_feature_sets_check(c):
     return compare_feature_sets(c).select("feature_set", "n", "above_majority")
 
 
-@query("cluster_songs", "select 4::bigint as clusters, count(*) as songs, true as apart from songs")
+@query("cluster_songs")
 def cluster_songs(c):
     from cadenza.operators.prep import standard_scale
     from cadenza.sources.catalog import FEATURES
 
     z = standard_scale(c.songs, FEATURES).select("song_id", F.array(*FEATURES).alias("x"))
     groups, silhouette = models.cluster(z, "song_id")
-    return groups.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("songs"), F.lit(silhouette > 0).alias("apart"))
+    groups = cut_lineage(groups.select("song_id", "cluster"))
+    sizes = groups.groupBy("cluster").agg(F.count("*").alias("cluster_songs"))
+    return groups.join(sizes, "cluster").select("song_id", "cluster", "cluster_songs", F.lit(silhouette).alias("silhouette"))
+
+
+@query("cluster_songs_check", "select 4::bigint as clusters, count(*) as songs, true as apart from songs")
+def cluster_songs_check(c):
+    groups = cluster_songs(c)
+    return groups.agg(F.countDistinct("cluster").alias("clusters"), F.count("*").alias("songs"), (F.max("silhouette") > 0).alias("apart"))
