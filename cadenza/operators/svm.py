@@ -38,7 +38,7 @@ def hinge_loss(df: DataFrame, model: DataFrame, label: str = "label", x: str = "
     return hinge.join(model, "label").select("label", (norm * 0.5 + c * F.col("h")).alias("loss"))
 
 
-def train_ovr(train: DataFrame, label: str = "label", x: str = "x", c: float = 1.0, rate: float = 0.1, steps: int = 60) -> DataFrame:
+def train_ovr(train: DataFrame, label: str = "label", x: str = "x", c: float = 1.0, rate: float = 0.1, steps: int = 500) -> DataFrame:
     """Batch subgradient descent on the same objective for every class at once.
 
     A step is one pass: each task sums the gradient of its rows (classes x dimensions numbers) and Spark

@@ -123,7 +123,7 @@ def svm_loss(c):
 @query("svm_ovr_sgd", f"with {_SPLIT}{_TOLD}")
 def svm_ovr_sgd(c):
     train, test = splits(c)
-    return told(svm.predict(test, svm.train_ovr(train)).select("vec_id", F.col("label").alias("truth"), "pred"))
+    return told(svm.predict(test, svm.train_ovr(train, steps=60)).select("vec_id", F.col("label").alias("truth"), "pred"))
 
 
 def _predictions(name: str, c, lift=None, **params) -> DataFrame:

@@ -1,14 +1,14 @@
 """Learned queries return their whole results, not only flags."""
 
+import inspect
 from pathlib import Path
 
 import numpy as np
 import pytest
 from conftest import rows
-from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from cadenza.operators import models
+from cadenza.operators import models, svm
 from cadenza.sources.catalog import Catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -29,6 +29,10 @@ def test_feature_sets_have_scores(spark):
     assert got["positions"]["accuracy"] > got["statistics"]["accuracy"]  # the label is made of two positions
 
 
+def test_the_own_svm_takes_the_published_number_of_steps():
+    assert inspect.signature(svm.train_ovr).parameters["steps"].default == 500
+
+
 def test_every_importance_is_returned(spark):
     got = rows(queries()["feature_importance"](spark, DATA), "idx")
     assert [i for i, _ in got] == list(range(64)) and abs(sum(v for _, v in got) - 1) < 1e-9
