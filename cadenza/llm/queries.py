@@ -7,15 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cadenza.llm.bpe import round_trip_digests
+from cadenza.llm.byte_bpe import byte_round_trip
 from cadenza.llm.fingerprints import edited_report
 from cadenza.llm.language import identify_documents
 from cadenza.llm.licences import RULES, SENTENCES, default_sentences, rule_patterns, scan_licences
 from cadenza.llm.packing import pack_documents
+from cadenza.llm.runs import run_report
 from cadenza.llm.shards import shard_report
 from cadenza.llm.topk import top_k
 from cadenza.llm.shingle_join import near_classes
 from cadenza.llm.toxicity import grade_documents
 from cadenza.llm.urls import judge_urls
+from cadenza.llm.whitening import whitening_report
 from cadenza.session import small_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +150,20 @@ def bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_shingle_join")
 def shingle_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op11_embedding_whitening")
+def embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening_report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_byte_bpe_round_trip")
+def byte_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query("op13_periodic_runs")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(table(spark, sf_dir, "documents"))
