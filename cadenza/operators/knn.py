@@ -1,12 +1,15 @@
 """Exact k-nearest-neighbour joins.
 
 Spark partitions the work; numpy computes distances for one block of queries against one block of
-candidates and keeps only k per query, so no pair of rows ever leaves a task. Three exact layouts:
+candidates and keeps only k per query, so no pair of rows ever leaves a task. Four exact layouts:
 
 * few candidates (profiles): they travel to every task, queries stay where they are, no shuffle;
 * few queries (requests): they travel, every task returns its best k, one small shuffle merges;
-* neither side small: block nested loops over a grid of bounded hash blocks (Zhang, Li & Jestes,
-  EDBT 2012). Blocks are cut on a hash of the row id, so no feature value can make one heavy.
+* neither side small: candidates are grouped by their nearest pivot. A query meets its own group first; the distance of
+  its k-th neighbour there bounds the groups it still has to meet. Groups larger than a block are cut by a hash of the row
+  id, so a group of copies is many tasks;
+* where the bounds rule out less than half of all pairs, or distances are weighted: block nested loops over a grid of
+  bounded hash blocks (Zhang, Li & Jestes, EDBT 2012).
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from cadenza.operators.ranking import top_k
-from cadenza.session import cut_lineage
+from cadenza.session import cut_lineage, small_table
 
 BOUND = 8192  # rows a side may have to be sent to every task
 BYTES = 64 << 20  # and bytes
@@ -136,7 +139,10 @@ def knn(
         if small is not None:
             partial = _send_queries(cs, small, sc, k, metric, exclude_self, schema, arrow)
         else:
-            partial = _grid(qs, cs, k, metric, exclude_self, schema, block)
+            weighted = "w" in cs.columns or "qw" in qs.columns
+            partial = None if weighted else _pivots(qs, cs, k, metric, exclude_self, schema, block)
+            if partial is None:
+                partial = _grid(qs, cs, k, metric, exclude_self, schema, block)
         out = top_k(partial.drop("rank"), ["q"], [F.col("distance"), F.col("c")], k)
     return out.select(F.col("q").alias(query_id), F.col("c").alias(candidate_id), "distance", "rank")
 
@@ -191,6 +197,118 @@ def _send_queries(cs, table, sc, k, metric, exclude_self, schema, arrow) -> Data
     return cs.mapInArrow(run, schema)
 
 
+PIVOTS = 1024  # groups at most
+
+
+def _finite(df: DataFrame, metric: str) -> DataFrame:
+    """Rows that can have a distance at all; for cosine the vectors are scaled to length 1."""
+    bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
+    df = df.where(~F.coalesce(F.exists("v", bad), F.lit(False)))
+    if metric != "cosine":
+        return df
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    return df.withColumn("_l", length).where("_l > 0").withColumn("v", F.transform("v", lambda x: x / F.col("_l"))).drop("_l")
+
+
+def _pivots(qs, cs, k, metric, exclude_self, schema, block, pivots: int = PIVOTS) -> DataFrame | None:
+    """Best k per query and group met, or None if the bounds rule out less than half of all pairs.
+
+    What goes to every task are the pivots, at most ``BYTES``, and the distances between them.
+    """
+    spark = qs.sparkSession
+    qs, cs = _finite(qs, metric), _finite(cs, metric)
+    nq, nc = qs.count(), cs.count()
+    width = cs.select(F.max(F.size("v"))).first()[0] or 1
+    many = min(pivots, BYTES // (8 * width), max(1, round((nc / max(1, 4 * k)) ** 0.5)))
+    chosen = cs.orderBy(F.xxhash64("c"), "c").limit(many).select("v").toArrow()
+    if chosen.num_rows < 2:
+        return None
+    centres = np.unique(_matrix(chosen.column("v")), axis=0)
+    side = spark.sparkContext.broadcast(centres)
+
+    def grouped(df: DataFrame, name: str) -> DataFrame:
+        out = pa.schema([(name, _arrow(df, name)), ("v", pa.list_(pa.float64())), ("group", pa.int32()), ("far", pa.float64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if b.num_rows:
+                    d = _distances(_matrix(b.column("v")), side.value, None, "euclidean")
+                    near = d.argmin(1)
+                    yield pa.RecordBatch.from_arrays([b.column(name), b.column("v"), pa.array(near, pa.int32()), pa.array(d[np.arange(len(d)), near])], schema=out)
+
+        return df.select(name, "v").mapInArrow(run, f"{name} {_type(df, name)}, v array<double>, `group` int, far double")
+
+    q, c = cut_lineage(grouped(qs, "q")), cut_lineage(grouped(cs, "c"))
+    size, reach = np.zeros(len(centres), dtype=np.int64), np.zeros(len(centres))
+    for r in c.groupBy("group").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        size[r["group"]], reach[r["group"]] = r["n"], r["far"]
+    plain = "cosine" if metric == "cosine" else "euclidean"
+    own = cut_lineage(top_k(_meet(q.select("q", "v", "group"), c, size, k, plain, exclude_self, schema, block).drop("rank"), ["q"], [F.col("distance"), F.col("c")], k))
+    # the k-th distance so far bounds what else a query has to meet
+    kth = own.groupBy("q").agg(F.max("distance").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("q", "kth")
+    bounded = q.join(kth, "q", "left")
+    stats = spark.sparkContext.broadcast((size, reach, _distances(centres, centres, None, "euclidean")))
+    want = k + int(exclude_self)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, reach, between = stats.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _distances(_matrix(b.column("v")), side.value, None, "euclidean")
+            mine = b.column("group").to_numpy()
+            kth = b.column("kth").to_numpy(zero_copy_only=False).astype(float)
+            if metric == "cosine":  # of unit vectors: distance^2 / 2
+                kth = np.sqrt(2 * (kth + 1e-9))
+            # without k neighbours yet: the groups nearest in full that hold so many rows
+            for i in np.flatnonzero(np.isnan(kth)):
+                whole = np.where(size > 0, d[i] + reach, np.inf)
+                order = np.argsort(whole)
+                kth[i] = whole[order[min(np.searchsorted(np.cumsum(size[order]), want), len(order) - 1)]]
+            # no candidate of a group is nearer than its border, nor than the plane half way to the query's own pivot
+            near = d[np.arange(len(d)), mine][:, None]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                plane = (d**2 - near**2 - 1e-13 * (d**2 + near**2)) / (2 * between[mine])
+            least = np.maximum(d - reach - 1e-12 * (d + reach), np.where(np.isfinite(plane), plane, -np.inf))
+            met = (least <= kth[:, None] * (1 + 1e-9) + 1e-8) & (size > 0)
+            met[np.arange(len(d)), mine] = False
+            at, group = np.nonzero(met)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(at, np.arange(len(d) + 1)), pa.int32()), pa.array(group, pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("v"), lists], names=["q", "v", "groups"])
+
+    told = bounded.select("q", "v", "group", "kth").mapInArrow(others, f"q {_type(qs, 'q')}, v array<double>, groups array<int>")
+    told = cut_lineage(told)
+    visits = np.zeros(len(centres), dtype=np.int64)
+    for r in told.select(F.explode("groups").alias("group")).groupBy("group").agg(F.count("*").alias("n")).collect():
+        visits[r["group"]] = r["n"]
+    if int((visits * size).sum()) > nq * nc // 2:
+        return None
+    more = _meet(told.select("q", "v", F.explode("groups").alias("group")), c, size, k, plain, exclude_self, schema, block, visits)
+    return own.select("q", "c", "distance", "rank").unionByName(more)
+
+
+def _meet(q: DataFrame, c: DataFrame, size: np.ndarray, k, metric, exclude_self, schema, block, visits: np.ndarray | None = None) -> DataFrame:
+    """Best k per query and block of candidates, for queries and candidates of one group."""
+    if visits is None:
+        visits = np.zeros(len(size), dtype=np.int64)
+        for r in q.groupBy("group").agg(F.count("*").alias("n")).collect():
+            visits[r["group"]] = r["n"]
+    blocks = lambda n: [int(-(-int(v) // block)) or 1 for v in n]
+    table = small_table(q.sparkSession, list(zip(range(len(size)), blocks(visits), blocks(size))), "`group` int, _nq int, _nc int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    left = q.join(table, "group").select("q", "v", "group", at("q", "_nq").alias("_qb"), spread("_nc").alias("_cb"))
+    right = c.join(table, "group").select("c", "v", "group", at("c", "_nc").alias("_cb"), spread("_nq").alias("_qb"))
+    keys = ["group", "_qb", "_cb"]
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"q": [], "c": [], "distance": [], "rank": []})
+        return block_top_k(one["q"].to_numpy(), np.vstack(one["v"]), two["c"].to_numpy(), np.vstack(two["v"]), None, k, metric, exclude_self)
+
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def _grid(qs, cs, k, metric, exclude_self, schema, block) -> DataFrame:
     nq = max(1, -(-qs.count() // block))
     nc = max(1, -(-cs.count() // block))

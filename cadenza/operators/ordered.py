@@ -103,33 +103,41 @@ def exact_quantiles(
     small: int = 100_000,
     cuts: int = 256,
 ) -> DataFrame:
-    """Exact interpolated quantiles per key without holding a key's values in one task.
+    """Exact interpolated quantiles per key without holding a key's values in one task; null values and keys are left out.
 
-    A mergeable sketch proposes cut points for large keys, a count per slice locates the slice that
-    holds each wanted rank, and only those slices are sorted.
+    Keys of at most ``small`` rows are counted value by value in one aggregate. For larger ones a mergeable sketch
+    proposes cut points, a count per slice locates the slice that holds each wanted rank, and only rows of those slices
+    are shuffled and sorted.
     """
-    keys = list(keys)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    probs = [i / cuts for i in range(1, cuts)]
-    size = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", probs, 10_000).alias("_cuts")
-    ).withColumn("_cuts", F.when(F.col("_total") > small, F.array_distinct("_cuts")).otherwise(F.array().cast("array<double>")))
-    sliced = rows.join(size, keys) if keys else rows.withColumn("_s", size.select(F.struct("*")).scalar()).select("_v", "_s.*")
-    sliced = sliced.withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
-    # identical values collapse before the shuffle, so copies cannot make a slice heavy
-    counted = sliced.groupBy(*keys, "_slice", "_v").agg(F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"))
-    per_slice = counted.groupBy(*keys, "_slice").agg(F.sum("_n").alias("_sn"))
+    given, rows = list(keys), df.where(F.col(value).isNotNull())
+    keys = given or ["_all"]
+    rows = rows.select(*(given or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    for k in given:
+        rows = rows.where(F.col(k).isNotNull())
+    large = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > small)
+    direct = rows.join(large, keys, "left_anti").groupBy(*keys).agg(*[F.percentile("_v", F.lit(float(q))).alias(n) for n, q in quantiles.items()])
+
+    # cut points everywhere, and close ones around each wanted rank
+    near = [q + side * 2.0**-j for q in quantiles.values() for j in range(6, 13) for side in (-1, 1)]
+    probs = sorted({p for p in [i / cuts for i in range(1, cuts)] + near if 0 < p < 1})
+    sketch = rows.join(large, keys).groupBy(*keys).agg(F.first("_total").alias("_total"), F.array_distinct(F.percentile_approx("_v", probs, 10_000)).alias("_cuts"))
+    sliced = rows.join(sketch, keys).withColumn("_slice", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+    per_slice = sliced.groupBy(*keys, "_slice").agg(F.count(F.lit(1)).alias("_sn"), F.first("_total").alias("_total"))
     across = W.partitionBy(*keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     per_slice = per_slice.withColumn("_before", F.coalesce(F.sum("_sn").over(across), F.lit(0)))
     spot = {n: (F.col("_total") - 1) * F.lit(float(q)) for n, q in quantiles.items()}
     ranks = [f(s) for s in spot.values() for f in (F.floor, F.ceil)]
-    joined = counted.join(per_slice, [*keys, "_slice"])
     hit = None
     for r in ranks:
         test = (r >= F.col("_before")) & (r < F.col("_before") + F.col("_sn"))
         hit = test if hit is None else hit | test
+    hits = per_slice.where(hit).select(*keys, "_slice", "_before")
+    # identical values collapse before the shuffle, so copies cannot make a slice heavy
+    counted = sliced.join(hits, [*keys, "_slice"]).groupBy(*keys, "_slice", "_v").agg(
+        F.count(F.lit(1)).alias("_n"), F.first("_total").alias("_total"), F.first("_before").alias("_before")
+    )
     inside = W.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = joined.where(hit).withColumn("_hi", F.sum("_n").over(inside) + F.col("_before")).withColumn("_lo", F.col("_hi") - F.col("_n"))
+    ranked = counted.withColumn("_hi", F.sum("_n").over(inside) + F.col("_before")).withColumn("_lo", F.col("_hi") - F.col("_n"))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_lo")) & (rank < F.col("_hi")), F.col("_v")))
@@ -138,7 +146,5 @@ def exact_quantiles(
     for n, s in spot.items():
         aggs += [at(F.floor(s)).alias(f"_a_{n}"), at(F.ceil(s)).alias(f"_b_{n}")]
     picked = ranked.groupBy(*keys).agg(F.first("_total").alias("_total"), *aggs)
-    final = [
-        (F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (s - F.floor(s))).alias(n) for n, s in spot.items()
-    ]
-    return picked.select(*keys, *final)
+    final = [(F.col(f"_a_{n}") + (F.col(f"_b_{n}") - F.col(f"_a_{n}")) * (s - F.floor(s))).alias(n) for n, s in spot.items()]
+    return direct.unionByName(picked.select(*keys, *final)).select(*given, *quantiles)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadenza.functions import musical
-from cadenza.operators import graph, lyrics, ranking, retrieval, similarity
+from cadenza.operators import graph, inverted_file, lyrics, ranking, retrieval, similarity
 from cadenza.operators.prep import standard_scale
 from cadenza.plans.analytics import rounded
 from cadenza.plans.catalogue import _MOOD
@@ -198,6 +198,25 @@ def ann_recall(c):
     return rounded(retrieval.recall_at_k(exact, _ann(c), "item_id", "item"), "recall")
 
 
+def _ivf(c, k=10):
+    v = c.vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    return inverted_file.search(inverted_file.build_index(v, item_id="item"), _query_vectors(c), v, k, query_id="item_id", item_id="item")
+
+
+@query("ivf_search")
+def ivf_search(c):
+    return rounded(_ivf(c), "distance").withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("ivf_recall")
+def ivf_recall(c):
+    from cadenza.operators.knn import knn
+
+    v = c.vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
+    exact = knn(_query_vectors(c), v, 10, query_id="item_id", candidate_id="item", exclude_self=True)
+    return rounded(retrieval.recall_at_k(exact, _ivf(c), "item_id", "item"), "recall")
+
+
 @query(
     "quantize_vectors",
     "with x as (select vec_id, generate_subscripts(embedding,1) as i, cast(unnest(embedding) as double) as x from embeddings), r as (select i, min(x) as lo, (max(x)-min(x))/255 as step from x group by 1), "

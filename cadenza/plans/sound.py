@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from cadenza.operators import audio, rhythm
+from cadenza.operators import audio, rhythm, soundvector
 from cadenza.plans.analytics import rounded
 from cadenza.plans.catalogue import r6
 from cadenza.plans.registry import query
@@ -333,6 +333,73 @@ def feature_names(c):
     return long.join(names, "idx").groupBy("idx", "name").agg(F.count("*").alias("clips"), F.round(F.avg("value"), 4).alias("mean"))
 
 
+# ---- the wide vector ------------------------------------------------------------------------
+
+# frames of 16 samples every 4: 13 frames a clip, five of them with all nine frames of a delta
+_WIDE = {"window": 16, "hop": 4, "smooth": 5, "lags": (1, 4), "tempogram_window": 4}
+_WIDE_HZ = "(bin * 22050 / 16.0::double)"
+_WIDE_EDGE = "((15 + ln(11.025::double) * 27 / ln(6.4::double)) * {i} / 129)"
+
+
+def _wide_edge(i: str) -> str:
+    return _MEL_HZ.format(m=_WIDE_EDGE.format(i=i))
+
+
+def _wide_delta(name: str, weight: str) -> str:
+    return (
+        f"select a.clip, '{name}_' || a.coef as p, 'four' as kind, sum(b.value * {weight}) as value from mfcc a join mfcc b on a.clip = b.clip and a.coef = b.coef and b.frame between a.frame - 4 and a.frame + 4 "
+        "group by a.clip, a.coef, a.frame having count(*) = 9"
+    )
+
+
+_WIDE_SQL = (
+    "with fr as (select clip, f.range as frame, t - f.range * 4 as n, x, x * (0.5 - 0.5*cos(2*pi()*(t - f.range * 4)/16)) as xw from samples, range(13) f where t between f.range * 4 and f.range * 4 + 15), "
+    "sp as (select clip, frame, cast(k.range as int) as bin, sqrt(sum(xw*cos(2*pi()*k.range*n/16))**2 + sum(xw*sin(2*pi()*k.range*n/16))**2) as m from fr, range(9) k group by 1, 2, 3), "
+    f"ce as (select clip, frame, sum(m*{_WIDE_HZ})/sum(m) as c, sum(m*{_WIDE_HZ}*{_WIDE_HZ})/sum(m) as m2 from sp group by 1, 2), "
+    f"ro as (select clip, frame, share, min({_WIDE_HZ}) as value from (select *, sum(m) over (partition by clip, frame order by bin) as c, sum(m) over (partition by clip, frame) as t from sp), (values (0.85::double), (0.99::double)) h(share) where c >= t * share group by 1, 2, 3), "
+    f"bd as (select clip, frame, m, bin, case when {_WIDE_HZ} < 200 then 0 else cast(least(floor(log2({_WIDE_HZ} / 200) + 1e-12) + 1, 6) as int) end as band from sp), "
+    "rk as (select *, row_number() over (partition by clip, frame, band order by m) as rn, count(*) over (partition by clip, frame, band) as n from bd), "
+    "co as (select clip, frame, band, 10*log10(greatest(1e-10, avg(m) filter (rn > n - greatest(1, round(n*0.02))))) - 10*log10(greatest(1e-10, avg(m) filter (rn <= greatest(1, round(n*0.02))))) as value from rk group by 1, 2, 3), "
+    "mw as (select bin, coef, greatest(0, least((f-lo)/(mid-lo), (hi-f)/(hi-mid))) * 2 / (hi-lo) as w from (select b.range as bin, m.range as coef, b.range * 22050 / 16.0::double as f, "
+    f"{_wide_edge('m.range')} as lo, {_wide_edge('(m.range + 1)')} as mid, {_wide_edge('(m.range + 2)')} as hi from range(9) b, range(128) m)), "
+    "ml as (select clip, frame, coef, 10*log10(greatest(1e-10, sum(m*m*w))) as v from sp join mw using (bin) group by 1, 2, 3), "
+    "lg as (select clip, frame, coef, greatest(v, max(v) over (partition by clip) - 80) as v, max(v) over (partition by clip) as top from ml), "
+    "dw as (select b.range as b, k.range as k, sqrt((case when k.range = 0 then 1 else 2 end) / 128.0::double) * cos(pi() * k.range * (2*b.range+1) / 256.0::double) as w from range(128) b, range(20) k), "
+    "mfcc as (select clip, frame, k as coef, sum(v*w) as value from lg join dw on lg.coef = dw.b group by 1, 2, 3), "
+    "tu as (select clip, t, case when p is not null and (p >= 0) <> (x >= 0) then 1.0::double else 0 end as v from (select clip, t, x, lag(x) over (partition by clip order by t) as p from samples)), "
+    "rs as (select clip, frame, bin, greatest(0, m - lag(m) over (partition by clip, bin order by frame)) as up from sp), "
+    "ser as (select clip, 'spectral_centroid' as p, 'five' as kind, c as value from ce union all select clip, 'spectral_bandwidth', 'five', sqrt(greatest(m2 - c*c, 0)) from ce union all "
+    "select clip, 'spectral_flatness', 'five', exp(avg(ln(greatest(1e-10, m*m)))) / avg(greatest(1e-10, m*m)) from sp group by clip, frame union all "
+    "select clip, case when share < 0.9 then 'spectral_rolloff' else 'spectral_rolloff_99' end, 'five', value from ro union all "
+    "select clip, 'spectral_contrast_' || band, 'two', value from co union all select clip, 'spectral_contrast_' || e.b, 'two', 0.0::double from ce, (values (1), (2)) e(b) union all "
+    "select clip, 'mfcc_' || coef, 'four', value from mfcc union all "
+    + _wide_delta("mfcc_delta", "(b.frame - a.frame) / 60.0::double") + " union all " + _wide_delta("mfcc_delta2", "(3*(b.frame - a.frame)**2 - 20) / 462.0::double") + " union all "
+    "select clip, 'mel_db', 'five', v - top from lg union all select clip, case when coef < 43 then 'mel_db_low' when coef < 86 then 'mel_db_mid' else 'mel_db_high' end, 'three', v - top from lg union all "
+    "select clip, 'onset', 'two', avg(coalesce(up, 0)) from rs group by clip, frame union all select clip, 'zcr', 'four', avg(v) from tu where t < 52 group by clip, t // 4 union all "
+    "select clip, 'rms', 'four', sqrt(avg(x*x)) from fr group by clip, frame), "
+    "st as (select clip, p, kind, avg(value) as mean, stddev_pop(value) as std, max(value) as max, min(value) as min, median(value) as median from ser group by 1, 2, 3) "
+    "select clip, p || '_' || s.name as name, round(case s.name when 'mean' then mean when 'std' then std when 'max' then max when 'min' then min else median end, 4) as value "
+    "from st join (values ('mean', 1), ('std', 2), ('max', 3), ('min', 4), ('median', 5)) s(name, at) on s.at <= case kind when 'five' then 5 when 'four' then 4 when 'three' then 3 else 2 end"
+)
+
+
+def _wide(c):
+    return soundvector.full_features(c.samples, **_WIDE)
+
+
+@query("vector_full")
+def vector_full(c):
+    """All 390 values; ``vector_full_told`` has those that SQL can say."""
+    return _wide(c).select("clip", F.posexplode("features").alias("idx", "value")).withColumn("value", F.round("value", 4))
+
+
+@query("vector_full_told", _WIDE_SQL)
+def vector_full_told(c):
+    told = [(i, n) for i, n in enumerate(audio.feature_layout("full")) if not n.startswith(("chroma", "tonnetz", "tempo"))]
+    names = small_table(c.spark, told, "idx int, name string")
+    return vector_full(c).join(names, "idx").select("clip", "name", "value")
+
+
 # ---- tempo ----------------------------------------------------------------------------------
 
 
