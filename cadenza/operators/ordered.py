@@ -11,6 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from cadenza.session import cut_lineage
+
 
 def chunk_scan(
     df: DataFrame,
@@ -25,7 +27,7 @@ def chunk_scan(
 ) -> DataFrame:
     """Exact row numbers, running sums and lags per key, computed chunk by chunk.
 
-    ``chunk`` must not decrease along ``order``. ``number`` names a 1-based row number, ``total`` the
+    ``chunk`` must not decrease along ``order`` (a number, or an array of numbers in lexical order). ``number`` names a 1-based row number, ``total`` the
     row count of the key, ``running`` maps names to inclusively summed columns and ``previous`` maps
     names to columns whose value on the preceding row is wanted.
     """
@@ -61,6 +63,31 @@ def chunk_scan(
     return rows.withColumns(out).drop(*drop)
 
 
+def range_chunks(df: DataFrame, keys: Sequence[str], position: Column, tie: str, width: int, *, name: str = "_range", target: int = 200_000, cuts: int = 256) -> DataFrame:
+    """Adds ``name``, a chunk for ``chunk_scan`` along (position, tie), cut where the rows are.
+
+    Chunks are ``width`` wide to begin with. Of those with more than ``target`` rows of a key the quantiles of their
+    positions are the borders of narrower ones, twice if need be; a single position with more rows is cut along the tie.
+    Only the counts of chunks, and sketches of the full ones, leave the tasks. Where no chunk is full nothing is added
+    to the scan but one count.
+    """
+    rows = df.withColumn("_at", position).withColumn(name, F.array(F.floor(F.col("_at") / width)))
+    chunk = [*keys, name]
+    probs = [i / cuts for i in range(1, cuts)]
+    numeric = dict(df.dtypes)[tie] in ("int", "bigint", "smallint", "double")
+    for value in ("_at", "_at", tie) if numeric else ("_at", "_at"):
+        sizes = rows.groupBy(*chunk).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_lo"), F.max("_at").alias("_hi")).where(F.col("_n") > target)
+        sizes = sizes.where("_lo < _hi") if value == "_at" else sizes.where("_lo = _hi")
+        full = cut_lineage(sizes.select(*chunk))
+        if full.isEmpty():
+            continue
+        borders = rows.join(full, chunk, "left_semi").groupBy(*chunk).agg(F.array_distinct(F.percentile_approx(value, probs, 10_000)).alias("_borders"))
+        place = F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(value))), F.lit(0))
+        # written, so that a scan of the result does not sketch again
+        rows = rows.join(cut_lineage(borders), chunk, "left").withColumn(name, F.concat(name, F.array(place.cast("bigint")))).drop("_borders")
+    return rows.drop("_at")
+
+
 def hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, tie: str, *, number: str, total: str | None = None, digits: int = 3) -> DataFrame:
     """Rank rows of each key in digest order; digest prefixes are the evenly filled chunks."""
     return (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.musical import tempo_class
-from cadenza.operators.ordered import chunk_scan, exact_quantiles, own_rows, with_halo
+from cadenza.operators.ordered import chunk_scan, exact_quantiles, own_rows, range_chunks, with_halo
 
 
 def dense_envelope(onsets: DataFrame) -> DataFrame:
@@ -94,16 +94,14 @@ def _micros(ts: str) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts).cast("timestamp_ntz"))
 
 
-def _day(ts: str) -> Column:
-    return F.to_date(ts)
+DAY = 86_400_000_000  # microseconds: the width of a chunk of time before full ones are cut
 
 
-def number_beats(events: DataFrame, key: str = "clip", ts: str = "ts", tie: str = "event_id") -> DataFrame:
-    """Beats numbered from 1 per clip with the seconds since the previous beat; days are the chunks."""
-    out = chunk_scan(
-        events, [key], [F.col(ts), F.col(tie)], _day(ts), number="beat_no", previous={"_prev": _micros(ts)}
-    )
-    return out.withColumn("interval", (_micros(ts) - F.col("_prev")) / F.lit(1e6)).drop("_prev")
+def number_beats(events: DataFrame, key: str = "clip", ts: str = "ts", tie: str = "event_id", target: int = 200_000) -> DataFrame:
+    """Beats numbered from 1 per clip with the seconds since the previous beat."""
+    cut = range_chunks(events, [key], _micros(ts), tie, DAY, target=target)
+    out = chunk_scan(cut, [key], [F.col(ts), F.col(tie)], F.col("_range"), number="beat_no", previous={"_prev": _micros(ts)})
+    return out.withColumn("interval", (_micros(ts) - F.col("_prev")) / F.lit(1e6)).drop("_prev", "_range")
 
 
 def inter_beat_interval(beats: DataFrame) -> DataFrame:
@@ -148,13 +146,14 @@ def meter_class(beats: DataFrame, accent: str = "value") -> DataFrame:
 # ---- sessions and conversations -------------------------------------------------------------
 
 
-def session_split(log: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", gap_seconds: int = 1800) -> DataFrame:
+def session_split(log: DataFrame, user: str = "user_id", ts: str = "ts", tie: str = "event_id", gap_seconds: int = 1800, target: int = 200_000) -> DataFrame:
     """Session number per user: a new one starts after a silence longer than the gap."""
     order = [F.col(ts), F.col(tie)]
-    with_prev = chunk_scan(log, [user], order, _day(ts), previous={"_prev": _micros(ts)})
+    cut = range_chunks(log, [user], _micros(ts), tie, DAY, target=target)
+    with_prev = chunk_scan(cut, [user], order, F.col("_range"), previous={"_prev": _micros(ts)})
     starts = F.when(F.col("_prev").isNull() | (_micros(ts) - F.col("_prev") > gap_seconds * 1_000_000), 1).otherwise(0)
     flagged = with_prev.withColumn("_new", starts)
-    return chunk_scan(flagged, [user], order, _day(ts), running={"session": F.col("_new")}).drop("_prev", "_new")
+    return chunk_scan(flagged, [user], order, F.col("_range"), running={"session": F.col("_new")}).drop("_prev", "_new", "_range")
 
 
 def context_window(turns: DataFrame, budget: int, last: int | None = None) -> DataFrame:

@@ -379,7 +379,7 @@ _WIDE_SQL = (
     "select clip, 'rms', 'four', sqrt(avg(x*x)) from fr group by clip, frame), "
     "st as (select clip, p, kind, avg(value) as mean, stddev_pop(value) as std, max(value) as max, min(value) as min, median(value) as median from ser group by 1, 2, 3) "
     "select clip, p || '_' || s.name as name, round(case s.name when 'mean' then mean when 'std' then std when 'max' then max when 'min' then min else median end, 4) as value "
-    "from st join (values ('mean', 1), ('std', 2), ('max', 3), ('min', 4), ('median', 5)) s(name, at) on s.at <= case kind when 'five' then 5 when 'four' then 4 when 'three' then 3 else 2 end"
+    "from st join (values ('mean', 1), ('std', 2), ('max', 3), ('min', 4), ('median', 5)) s(name, pos) on s.pos <= case kind when 'five' then 5 when 'four' then 4 when 'three' then 3 else 2 end"
 )
 
 
