@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.musical import tempo_class
 from cadenza.operators.ordered import chunk_scan, exact_quantiles, own_rows, range_chunks, with_halo
 
 
+CHUNK = 8192  # steps of a clip that one task works on together
+
+
 def dense_envelope(onsets: DataFrame) -> DataFrame:
     """Fill the silent steps between a clip's first and last onset with zero strength."""
     span = onsets.groupBy("clip").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    steps = span.select("clip", F.explode(F.sequence("lo", "hi")).alias("t"))
+    # chunk by chunk, so that no row ever holds all steps of a long clip
+    chunks = span.select("clip", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") / CHUNK), F.floor(F.col("hi") / CHUNK))).alias("_c"))
+    first, last = F.greatest("lo", (F.col("_c") * CHUNK).cast("int")), F.least("hi", ((F.col("_c") + 1) * CHUNK - 1).cast("int"))
+    steps = chunks.select("clip", F.explode(F.sequence(first, last)).alias("t"))
     return steps.join(onsets, ["clip", "t"], "left").select("clip", "t", F.coalesce("strength", F.lit(0.0)).alias("strength"))
 
 
@@ -22,16 +30,59 @@ def centred(envelope: DataFrame) -> DataFrame:
     return envelope.join(mean, "clip").select("clip", "t", (F.col("strength") - F.col("_m")).alias("strength"))
 
 
-def autocorrelation(envelope: DataFrame, max_lag: int) -> DataFrame:
-    """``(clip, lag, ac)`` for lags 0..max_lag: all lags in one pass, summed before the shuffle."""
-    rows, w = with_halo(envelope, ["clip"], "t", max_lag, 0)
-    # the current value and at most max_lag earlier ones, newest first
-    seen = F.reverse(F.collect_list("strength").over(w.rowsBetween(-max_lag, 0)))
-    past = own_rows(rows.withColumn("_past", seen))
-    long = past.select("clip", "strength", F.posexplode("_past").alias("lag", "_x"))
-    sums = long.groupBy("clip", "lag").agg(F.sum(F.col("strength") * F.col("_x")).alias("ac"))
-    every = envelope.select("clip").distinct().select("clip", F.explode(F.sequence(F.lit(0), F.lit(max_lag))).alias("lag"))
-    return every.join(sums, ["clip", "lag"], "left").select("clip", "lag", F.coalesce("ac", F.lit(0.0)).alias("ac"))
+def by_chunk(envelope: DataFrame, before: int, after: int, work: Callable[[np.ndarray, int, int], pd.DataFrame], schema: str) -> DataFrame:
+    """``work(line, start, stop)`` on every chunk of every clip: ``line[start:stop]`` are its own steps, beside them neighbours.
+
+    ``line`` begins ``before`` steps ahead of the chunk and ends ``after`` steps behind it; steps that a clip does not
+    have count as 0. ``work`` returns the columns of ``schema`` after the clip, with ``t`` counted from the chunk's start.
+    """
+    size = max(CHUNK, before + after)
+    sent, _ = with_halo(envelope.select("clip", F.col("t").cast("bigint").alias("t"), "strength"), ["clip"], "t", before, after, size)
+    kind = dict(envelope.dtypes)["clip"]
+    timed = "t " in schema
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        base = int(key[1]) * size
+        own = rows["_own"].to_numpy()
+        if not own.any():
+            return pd.DataFrame(columns=["clip", *[f.split()[0] for f in schema.split(", ")]], dtype=object)
+        t = rows["t"].to_numpy()
+        start, stop = int(t[own].min()) - base, int(t[own].max()) - base + 1
+        line = np.zeros(before + size + after)
+        inside = (t >= base - before) & (t < base + size + after)
+        line[t[inside] - base + before] = rows["strength"].to_numpy(dtype=float)[inside]
+        out = work(line, before + start, before + stop)
+        if timed:
+            out["t"] += base + start
+        out.insert(0, "clip", [key[0]] * len(out))
+        return out
+
+    return sent.groupBy("clip", "_chunk").applyInPandas(run, f"clip {kind}, {schema}")
+
+
+def lag_products(line: np.ndarray, start: int, stop: int, max_lag: int, direct: int = 256) -> np.ndarray:
+    """Sum over the own steps of the product with the step ``k`` earlier, for k = 0 to ``max_lag``.
+
+    Few lags are summed one by one; for many an FFT of the chunk with the steps ahead of it (overlap-save) gives all at a
+    cost that hardly depends on their number.
+    """
+    own = line[start:stop]
+    if max_lag <= direct:
+        return np.array([own @ line[start - k : stop - k] for k in range(max_lag + 1)])
+    seen = line[start - max_lag : stop]
+    n = 1 << (2 * len(seen)).bit_length()
+    both = np.fft.irfft(np.fft.rfft(own[::-1], n) * np.fft.rfft(seen, n), n)
+    # the product at shift s pairs own[i] with seen[i + s]; lag k is shift max_lag - k
+    return both[len(own) - 1 : len(own) + max_lag][::-1]
+
+
+def autocorrelation(envelope: DataFrame, max_lag: int, direct: int = 256) -> DataFrame:
+    """``(clip, lag, ac)`` for lags 0..max_lag: one row of sums per chunk and lag is all that leaves a chunk."""
+
+    def work(line: np.ndarray, start: int, stop: int) -> pd.DataFrame:
+        return pd.DataFrame({"lag": np.arange(max_lag + 1), "ac": lag_products(line, start, stop, max_lag, direct)})
+
+    return by_chunk(envelope, max_lag, 0, work, "lag int, ac double").groupBy("clip", "lag").agg(F.sum("ac").alias("ac"))
 
 
 def _best_lag(scores: DataFrame, lo: int, hi: int, score: str) -> DataFrame:
@@ -61,19 +112,25 @@ def tempo_result(ac: DataFrame, lo: int, hi: int, step_seconds: float) -> DataFr
 
 
 def tempogram(envelope: DataFrame, max_lag: int, window: int) -> DataFrame:
-    """Local autocorrelation ``(clip, t, lag, value)`` over a centred window, scaled by each step's maximum."""
-    rows, w = with_halo(envelope, ["clip"], "t", max_lag, 0)
-    prods = [
-        F.struct(F.lit(k).alias("lag"), (F.col("strength") * (F.lag("strength", k).over(w) if k else F.col("strength"))).alias("p"))
-        for k in range(max_lag + 1)
-    ]
-    long = own_rows(rows.withColumn("_p", F.array(*prods))).select("clip", "t", F.inline("_p"))
-    long = long.withColumn("p", F.coalesce("p", F.lit(0.0)))
+    """Local autocorrelation ``(clip, t, lag, value)`` over a centred window, scaled by each step's maximum.
+
+    Running sums of the products give every window from two of them, however wide it is.
+    """
     half = window // 2
-    halo, w2 = with_halo(long, ["clip", "lag"], "t", half, half)
-    local = own_rows(halo.withColumn("value", F.sum("p").over(w2.rowsBetween(-half, half)))).drop("p")
-    top = local.groupBy("clip", "t").agg(F.max(F.abs("value")).alias("_top"))
-    return local.join(top, ["clip", "t"]).select("clip", "t", "lag", F.coalesce(F.try_divide("value", "_top"), F.lit(0.0)).alias("value"))
+
+    def work(line: np.ndarray, start: int, stop: int) -> pd.DataFrame:
+        lo, hi = start - half, stop + half
+        products = np.stack([line[lo:hi] * line[lo - k : hi - k] for k in range(max_lag + 1)], axis=1)
+        sums = np.concatenate([np.zeros((1, max_lag + 1)), np.cumsum(products, axis=0)])
+        local = sums[2 * half + 1 :] - sums[: -2 * half - 1]
+        # what is left of a window without products is 0, not rounding
+        local[np.abs(local) <= 1e-12 * np.abs(products).max(initial=0.0)] = 0.0
+        top = np.abs(local).max(axis=1, keepdims=True)
+        value = np.divide(local, top, out=np.zeros_like(local), where=top > 0)
+        steps, lags = np.indices(value.shape)
+        return pd.DataFrame({"t": steps.ravel(), "lag": lags.ravel(), "value": value.ravel()})
+
+    return by_chunk(envelope, max_lag + half, half, work, "t int, lag int, value double")
 
 
 def onset_density(envelope: DataFrame, unit: int) -> DataFrame:
