@@ -87,15 +87,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, keys: Sequence[str], *, spread: bool = True) -> DataFrame:
+def bucketed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Like ``cut_lineage``, but hashed by ``keys`` into as many buckets as a shuffle has partitions.
 
     Joins and aggregates by these keys then read the table without shuffling it, which pays where a large table is
-    joined again and again with a small one. ``spread=False`` is for rows that are hashed by the keys already.
+    joined again and again with a small one.
     """
     spark = df.sparkSession
     path, many = scratch_path(spark, "cut"), int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = "cut_" + path.rsplit("-", 1)[1]
-    rows = df.repartition(many, *keys) if spread else df
-    rows.write.option("path", path).bucketBy(many, *keys).sortBy(*keys).saveAsTable(name)
+    df.repartition(many, *keys).write.option("path", path).bucketBy(many, *keys).sortBy(*keys).saveAsTable(name)
     return spark.table(name)
