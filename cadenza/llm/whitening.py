@@ -8,9 +8,11 @@ rows. Copies of a vector count once in the fit, however many there are; every ro
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.common import callMLlibFunc
 from pyspark.mllib.linalg import Matrices
@@ -86,6 +88,27 @@ def times(matrix: BlockMatrix, local: np.ndarray) -> DataFrame:
     return rows.select("index", vector_to_array("vector").alias("values"))
 
 
+def identity_error(rows: DataFrame, values: str, k: int) -> float:
+    """Largest absolute entry of the covariance (divisor n) of arrays of ``k`` numbers, minus the identity.
+
+    Sums of a task's rows and their products, less a first mean that is 0 but for rounding, leave the task as one row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, products = 0, np.zeros(k), np.zeros((k, k))
+        for b in batches:
+            w = b.column(0).flatten().to_numpy().reshape(-1, k)
+            n, total, products = n + len(w), total + w.sum(0), products + w.T @ w
+        told = [float(n), *total.tolist(), *products.ravel().tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([told], pa.list_(pa.float64()))], names=["told"])
+
+    parts = rows.select(values).mapInArrow(run, "told array<double>")
+    sums = [r["s"] for r in parts.select(F.posexplode("told").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("s")).orderBy("i").collect()]
+    n, mean = sums[0], np.array(sums[1 : k + 1]) / sums[0]
+    covariance = np.array(sums[k + 1 :]).reshape(k, k) / n - np.outer(mean, mean)
+    return float(np.abs(covariance - np.eye(k)).max())
+
+
 def fit_whitening(df: DataFrame, keys: list[str], components: int = 16) -> Whitening | None:
     """Whiten whole-number vectors ``x``; ``None`` if there are no rows.
 
@@ -101,8 +124,11 @@ def fit_whitening(df: DataFrame, keys: list[str], components: int = 16) -> White
     rows = indexed(df.where(F.size("x") == d).select(*keys, "x"), "_index")
     # each vector once, under the least index of its copies
     fit = cut_lineage(rows.groupBy("x").agg(F.min("_index").alias("_index")))
-    sums = fit.select(F.posexplode("x").alias("j", "v")).groupBy("j").agg(F.sum("v").alias("s"), F.count("*").alias("n")).orderBy("j").collect()
+    each = fit.select(F.posexplode("x").alias("j", "v")).groupBy("j")
+    sums = each.agg(F.sum("v").alias("s"), F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("j").collect()
     n, total = sums[0]["n"], [r["s"] for r in sums]
+    # squares of this size add up in 64 bits, or need decimals
+    small = sum(max(abs(n * r["lo"] - r["s"]), abs(n * r["hi"] - r["s"])) ** 2 for r in sums) < 1 << 63
     off = F.zip_with("x", F.array(*[F.lit(s).cast("bigint") for s in total]), lambda v, s: v * F.lit(n) - s)
 
     def centred(table: DataFrame) -> DataFrame:
@@ -118,16 +144,15 @@ def fit_whitening(df: DataFrame, keys: list[str], components: int = 16) -> White
 
     placed = centred(rows)
     white = cut_lineage(times(block_matrix(placed, "_index", "_c", height, d), vectors[:, :k] / np.sqrt(values[:k])))
-    wide = F.lit(0).cast("decimal(38,0)")
-    square = lambda a, v: (a + (v.cast("decimal(19,0)") * v.cast("decimal(19,0)")).cast("decimal(38,0)")).cast("decimal(38,0)")
-    told = placed.select(*keys, "_index", F.aggregate("_off", wide, square).alias("deviation"))
+    exact = (lambda v: v) if small else (lambda v: v.cast("decimal(38,0)"))
+    one = (lambda v: v) if small else (lambda v: v.cast("decimal(19,0)"))
+    square = lambda a, v: exact(a + exact(one(v) * one(v)))
+    deviation = F.aggregate("_off", exact(F.lit(0).cast("bigint")), square).cast("decimal(38,0)")
+    told = placed.select(*keys, "_index", deviation.alias("deviation"))
     white = white.withColumnsRenamed({"index": "_index", "values": "whitened"})
-    # one flagged row per vector of the fit list
-    seen = white.join(fit.select("_index"), "_index", "left_semi").select(*[F.col("whitened")[i].alias(f"w{i}") for i in range(k)])
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    covariances = seen.agg(*[F.covar_pop(f"w{i}", f"w{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-    error = max(abs(covariances[f"c{i}_{j}"] - (i == j)) for i, j in pairs)
-    return Whitening(told.join(white, "_index").drop("_index"), n, [s / n for s in total], vectors, values, float(error))
+    # one row per vector of the fit list
+    seen = white.join(fit.select("_index"), "_index", "left_semi")
+    return Whitening(told.join(white, "_index").drop("_index"), n, [s / n for s in total], vectors, values, identity_error(seen, "whitened", k))
 
 
 def whitening_report(embeddings: DataFrame, components: int = 16) -> DataFrame:
