@@ -63,8 +63,12 @@ def hashed_sample(rows: DataFrame, label: str, h: str, each: int) -> DataFrame:
 
 
 def per_process(key: str, make: Callable[[], object]):
-    """What ``make`` returns, made once in a worker process and kept for its later tasks."""
+    """What ``make`` returns, made once in a worker process and kept for its later tasks.
+
+    Workers outlive the stages of a pipeline, so only one operator's tables are held: the next one's push them out.
+    """
     store = sys.__dict__.setdefault("_cadenza_llm", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]

@@ -12,17 +12,23 @@ import math
 import re
 
 import numpy as np
+import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.llm.common import hashed_sample, keep_rows, map_columns, per_process
 from cadenza.session import small_table
 
-_WORDS = re.compile(r"[^\W\d_]+")
+_ASCII_WORDS = re.compile(r"[a-z]+")
+_WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_DENSE = 1 << 23  # moves of an automaton that are kept as a plain table
 
 
 def letters_only(text: str | None) -> str:
-    """Words of letters in lower case, one blank between; digits, marks and punctuation go."""
-    return " ".join(_WORDS.findall(text.lower())) if text else ""
+    """Words of letters and the marks on them in lower case, one blank between; digits, number signs and punctuation go."""
+    if not text:
+        return ""
+    low = text.lower()
+    return " ".join((_ASCII_WORDS if low.isascii() else _WORDS).findall(low))
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -55,8 +61,51 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
+class Dense:
+    """Moves as a table of states x symbols. A state is the place of its row; two low bits count the phrases a move ends."""
+
+    kind = np.int32
+
+    def __init__(self, states: list[dict[str, int]], at: dict[str, int], width: int):
+        table = np.full((len(states), width), -1, dtype=np.int32)
+        for state, moves in enumerate(states):
+            for c, to in moves.items():
+                table[state, at[c]] = to * width
+        # no move: the phrase ends and the next begins with this symbol; a symbol never seen is a phrase of its own
+        never = table[0] < 0
+        ended = np.where(table < 0, (1 + never).astype(np.int32), np.int32(0))
+        ended[0] = never
+        self.table = (np.where(table < 0, np.where(never, 0, table[0]), table) << 2 | ended).astype(np.int32).ravel()
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.table[state + symbol]
+
+
+class Sparse:
+    """The same moves as sorted (state, symbol) keys, for alphabets so wide that nearly all of the table would be empty."""
+
+    kind = np.int64
+
+    def __init__(self, states: list[dict[str, int]], at: dict[str, int], width: int):
+        keys = np.array([state * width + at[c] for state, moves in enumerate(states) for c in moves], dtype=np.int64)
+        to = np.array([t * width for moves in states for t in moves.values()], dtype=np.int64)
+        order = np.argsort(keys)
+        self.keys, self.moves = keys[order], to[order] << 2
+        root = np.full(width, -1, dtype=np.int64)
+        for c, t in states[0].items():
+            root[at[c]] = t * width
+        never = root < 0
+        self.missed = np.where(never, 0, root) << 2 | (1 + never)
+
+    def __call__(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state + symbol
+        i = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        # at the root no phrase is under way that could end
+        return np.where(self.keys[i] == key, self.moves[i], self.missed[symbol] - (state == 0))
+
+
 class Parser:
-    """Automata of all languages as one table of moves; its two low bits count the phrases that a move ends."""
+    """Automata of all languages; a move's two low bits count the phrases that it ends."""
 
     def __init__(self, learned: dict[str, tuple[str, int]]):
         samples = {language: text for language, (text, _) in learned.items()}
@@ -68,18 +117,11 @@ class Parser:
         self.symbol = np.full(0x110000, len(alphabet), dtype=np.int32)
         self.symbol[[ord(c) for c in alphabet]] = np.arange(len(alphabet))
         at = {c: i for i, c in enumerate(alphabet)}
-        self.tables, self.bits = [], []
+        self.moves, self.bits = [], []
         for language in self.languages:
             states = suffix_automaton(samples[language])
-            table = np.full((len(states), self.width), -1, dtype=np.int32)
-            for state, moves in enumerate(states):
-                for c, to in moves.items():
-                    table[state, at[c]] = to * self.width
-            # no move: the phrase ends and the next begins with this symbol; a symbol never seen is a phrase of its own
-            never = table[0] < 0
-            ended = np.where(table < 0, 1 + never, 0)
-            ended[0] = never
-            self.tables.append((np.where(table < 0, np.where(never, 0, table[0]), table) << 2 | ended).astype(np.int32).ravel())
+            kind = Dense if len(states) * self.width <= _DENSE else Sparse
+            self.moves.append(kind(states, at, self.width))
             self.bits.append(math.log2(len(samples[language]) + 2))
 
     def phrases(self, texts: list[str], stretch: int = 1024) -> np.ndarray:
@@ -101,11 +143,11 @@ class Parser:
             lanes[: sizes[i], lane] = parts[i]
         owner, sizes = np.array(owner)[order], sizes[order]
         live = np.searchsorted(-sizes, -np.arange(sizes[0]), side="left")  # lanes that have a symbol at each step
-        for j, table in enumerate(self.tables):
-            state, ended = np.zeros(len(parts), dtype=np.int32), np.zeros(len(parts), dtype=np.int32)
+        for j, moves in enumerate(self.moves):
+            state, ended = np.zeros(len(parts), dtype=moves.kind), np.zeros(len(parts), dtype=np.int32)
             for t in range(sizes[0]):
                 n = live[t]
-                move = table[state[:n] + lanes[t, :n]]
+                move = moves(state[:n], lanes[t, :n])
                 ended[:n] += move & 3
                 state[:n] = move >> 2
             counts[:, j] = np.bincount(owner, weights=ended + (state > 0), minlength=len(texts))
