@@ -254,6 +254,8 @@ def brute_components(texts, k, percent):
 @pytest.mark.parametrize("hot", [64, 1])
 def test_near_classes_against_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(sj, "_HOT", hot)
+    monkeypatch.setattr(sj, "_CROWD", hot)
+    monkeypatch.setattr(sj, "_CELL", max(2, hot))
     monkeypatch.setattr(sj, "_BLOCK", 400)
     rng = np.random.default_rng(5)
     words = [f"w{i}" for i in range(300)]
