@@ -104,7 +104,8 @@ def run_similarity(requests: DataFrame, profiles: DataFrame, features: Sequence[
     queries = cut_lineage(asked.join(packed, by))
     most = queries.agg(F.max("k")).first()[0] or 0
     near = knn(queries, packed.withColumnRenamed(by, "neighbour"), most + 1, query_id=request, candidate_id="neighbour", query_weight="qw").drop("rank")
-    others = near.join(queries.select(request, by, "k"), request).where(F.col("neighbour") != F.col(by))
+    # requests grow with the log: their rows are sorted beside their lists, never collected and sent to every task
+    others = near.join(queries.select(request, by, "k").hint("merge"), request).where(F.col("neighbour") != F.col(by))
     ranked = others.withColumn("rank", F.row_number().over(W.partitionBy(request).orderBy("distance", "neighbour")).cast("bigint"))
     return ranked.where(F.col("rank") <= F.col("k")).select(request, "neighbour", "distance", "rank")
 
