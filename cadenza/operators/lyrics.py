@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from cadenza.functions.text import tokens
 from cadenza.operators.ranking import top_k
-from cadenza.session import cut_lineage
+from cadenza.session import cut_lineage, shuffle_width
 
 # Function words per language that cleaning removes.
 STOPWORDS = {
@@ -85,12 +85,21 @@ def keyword_search(docs: DataFrame, doc_id: str, queries: DataFrame, query_id: s
         able = promising(index, few.withColumn("_qw", F.lit(1.0)), doc_id, query_id, k)
         scored = score(able, index, few, doc_id, query_id, F.col("weight"))
     if many is not None:
-        every = index.join(many, "term").groupBy(query_id, doc_id).agg(F.sum("weight").alias("score"))
+        every = by_document(index, doc_id).join(many, "term").groupBy(query_id, doc_id).agg(F.sum("weight").alias("score"))
         scored = every if few is None else scored.unionByName(every)
     scored = scored.withColumn("score", F.round("score", 6))
     return top_k(scored.where("score > 0"), [query_id], [F.col("score").desc(), F.col(doc_id)], k)
 
 
+def by_document(index: DataFrame, doc_id: str) -> DataFrame:
+    """Postings dealt by document over all tasks of a shuffle.
+
+    Every posting meets each query that asks for its word, so few bytes are much work. A document's scores are summed
+    where its postings lie: where the words of the queries are sent to them, no pair of query and document is shuffled.
+    """
+    return index.repartition(shuffle_width(index), doc_id)
+
+
 def score(pairs: DataFrame, index: DataFrame, wanted: DataFrame, doc_id: str, query_id: str, value: Column) -> DataFrame:
     """``(query, document, score)`` of the given pairs: ``value`` summed over the words they share."""
     asked = pairs.join(index, doc_id).join(wanted, [query_id, "term"])
@@ -163,7 +172,7 @@ def similar_lyrics(docs: DataFrame, doc_id: str, verses: DataFrame, verse_id: st
     few, many = by_length(v, verse_id, short)
     dots = None
     if many is not None:
-        dots = d.join(many, "term").groupBy(verse_id, doc_id).agg(F.sum(F.col("dw") * F.col("vw")).alias("dot"))
+        dots = by_document(d, doc_id).join(many, "term").groupBy(verse_id, doc_id).agg(F.sum(F.col("dw") * F.col("vw")).alias("dot"))
     if few is not None:
         # cosine is the sum of both sides' shares, which is what a word can add at most
         asked = cut_lineage(few.join(vn, verse_id).where("vn > 0").withColumn("_qw", F.col("vw") / F.col("vn")))

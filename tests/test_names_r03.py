@@ -1,10 +1,11 @@
 """Names within two edits, whole and without candidates in vain."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
-from cadenza.operators import joins, retrieval
+from cadenza.operators import joins, lyrics, retrieval
 from conftest import rows
 
 
@@ -49,3 +50,12 @@ def test_numbered_names_meet_only_as_near_duplicates(spark):
     met = joins.substituted(names, names.withColumnRenamed("a", "b")).where("a < b")
     assert "Aggregate" not in met._jdf.queryExecution().optimizedPlan().toString()
     assert met.count() == met.distinct().count() == met.where(F.levenshtein("a", "b") == F.col("edits")).count()
+
+
+def test_long_queries_are_scored_where_a_document_lies(spark):
+    """Pairs of query and document are summed in the tasks that hold the document: no exchange by both."""
+    docs = spark.range(60).select("id", F.concat_ws(" ", *[F.concat(F.lit(f"w{i}x"), (F.col("id") * (i + 3) % 7).cast("string")) for i in range(12)]).alias("text"))
+    asked = docs.where("id % 10 = 0").select(F.col("id").alias("q"), "text")
+    for got in (lyrics.keyword_search(docs, "id", asked, "q", 3), lyrics.similar_lyrics(docs, "id", asked, "q", 3)):
+        assert "hashpartitioning(q#" not in "".join(p for p in re.findall(r"hashpartitioning\([^)]*\)", got._jdf.queryExecution().executedPlan().toString()) if "id#" in p)
+        assert [r.id for r in got.where("rank = 1").orderBy("q").collect()] == [r.q - r.q // 7 * 7 for r in asked.orderBy("q").collect()]
