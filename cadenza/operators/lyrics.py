@@ -33,8 +33,9 @@ def clean_lyrics(lyrics: DataFrame, stopwords: dict[str, Sequence[str]] = STOPWO
 
 
 def term_frequencies(docs: DataFrame, id_col: str, text: str = "text") -> DataFrame:
-    """``(id, term, tf)``: a document's words are counted in its own task before the shuffle."""
-    return docs.select(id_col, F.explode(tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    """``(id, term, tf)``: texts are dealt by document and their words counted there, so no word is shuffled."""
+    dealt = docs.select(id_col, text).repartition(shuffle_width(docs), id_col)
+    return dealt.select(id_col, F.explode(tokens(text)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
 
 
 def document_frequencies(tf: DataFrame) -> DataFrame:

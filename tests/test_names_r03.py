@@ -59,3 +59,11 @@ def test_long_queries_are_scored_where_a_document_lies(spark):
     for got in (lyrics.keyword_search(docs, "id", asked, "q", 3), lyrics.similar_lyrics(docs, "id", asked, "q", 3)):
         assert "hashpartitioning(q#" not in "".join(p for p in re.findall(r"hashpartitioning\([^)]*\)", got._jdf.queryExecution().executedPlan().toString()) if "id#" in p)
         assert [r.id for r in got.where("rank = 1").orderBy("q").collect()] == [r.q - r.q // 7 * 7 for r in asked.orderBy("q").collect()]
+
+
+def test_words_are_counted_where_their_text_lies(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (None, "a a"), (3, "")], "id bigint, text string")
+    got = lyrics.term_frequencies(docs, "id")
+    assert "hashpartitioning(id#" in (plan := got._jdf.queryExecution().executedPlan().toString()) or "Exchange" not in plan
+    assert not re.search(r"hashpartitioning\(id#\d+L?, term#", plan)
+    assert sorted(map(tuple, got.collect()), key=str) == [(1, "a", 2), (1, "b", 2), (1, "c", 1), (None, "a", 2)]
