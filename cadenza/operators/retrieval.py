@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from cadenza.functions.hashing import hash_fraction
 from cadenza.operators.graph import connected_components
 from cadenza.operators.joins import close_names, masked_names, shifted
-from cadenza.operators.knn import knn
+from cadenza.operators.knn import block_top_k, knn
 from cadenza.operators.ranking import top_k
-from cadenza.session import shuffle_width
+from cadenza.session import cut_lineage, shuffle_width
 
 
 def semantic_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, vector: str = "v", where=None) -> DataFrame:
@@ -22,10 +24,17 @@ def semantic_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: s
 
 
 def sign_codes(df: DataFrame, id_col: str, vector: str, bits: int, tables: int, seed: int = 42) -> DataFrame:
-    """``(id, table, code)``: the signs of ``bits`` random projections per table; the planes come from md5, alike in every engine."""
+    """``(id, table, code)``: the signs of ``bits`` random projections per table; the planes come from md5, alike in every engine.
+
+    A plane's numbers depend on the position alone, so they are worked out once per position and not once per component.
+    """
+    width = df.select(F.max(F.size(vector))).first()[0] or 0
     x = df.select(id_col, F.posexplode(vector).alias("i", "x")).select(id_col, "i", F.col("x").cast("double").alias("x"))
     planes = [[hash_unit(f"{t}:{b}:{{}}:{seed}") for b in range(bits)] for t in range(tables)]
-    sums = [F.sum(F.col("x") * plane(F.col("i"))).alias(f"p{t}_{b}") for t, row in enumerate(planes) for b, plane in enumerate(row)]
+    names = [f"p{t}_{b}" for t in range(tables) for b in range(bits)]
+    at = df.sparkSession.range(max(width, 0)).select(F.col("id").cast("int").alias("i"))
+    at = at.select("i", *[plane(F.col("i")).alias(n) for n, plane in zip(names, [plane for row in planes for plane in row])])
+    x, sums = x.join(F.broadcast(at), "i"), [F.sum(F.col("x") * F.col(n)).alias(n) for n in names]
     per = x.groupBy(id_col).agg(*sums)
     code = lambda t: F.concat(*[F.when(F.round(f"p{t}_{b}", 9) >= 0, "1").otherwise("0") for b in range(bits)])
     return per.select(id_col, F.posexplode(F.array(*[code(t) for t in range(tables)])).alias("table", "code"))
@@ -37,17 +46,50 @@ def hash_unit(pattern: str):
     return lambda i: hash_fraction(F.md5(F.concat(F.lit(head), i.cast("string"), F.lit(tail)))) * 2 - 1
 
 
-def lsh_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, vector: str = "v", bits: int = 4, tables: int = 16, seed: int = 42) -> DataFrame:
+def lsh_search(queries: DataFrame, items: DataFrame, k: int, *, query_id: str, item_id: str, vector: str = "v", bits: int = 4, tables: int = 16, seed: int = 42, block: int = 4096) -> DataFrame:
     """Approximate neighbours: items that share a sign code with the query in some table, then exact distances, no cut-off.
 
-    More rows ask for more ``bits``: their expected number per code is rows / 2 ** bits.
+    More rows ask for more ``bits``: their expected number per code is rows / 2 ** bits. Queries and items of one code meet in
+    blocks of about ``block`` rows and only k items per query leave a block, so no pair carries vectors through a join. Rows
+    with a component that is missing or not finite, of another length, or with an id that was there before are joined pair by pair.
     """
-    q, c = sign_codes(queries, query_id, vector, bits, tables, seed), sign_codes(items, item_id, vector, bits, tables, seed)
-    mates = q.join(c, ["table", "code"]).where(F.col(query_id) != F.col(item_id)).select(query_id, item_id).distinct()
-    vectors = lambda df, i, v: df.select(i, F.col(vector).cast("array<double>").alias(v))
-    met = mates.join(vectors(queries, query_id, "_q"), query_id).join(vectors(items, item_id, "_c"), item_id)
-    apart = F.aggregate(F.zip_with("_q", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    return top_k(met.select(query_id, item_id, F.round(F.sqrt(apart), 9).alias("distance")), [query_id], [F.col("distance"), F.col(item_id)], k)
+    width = items.select(F.max(F.size(vector))).first()[0] or 0
+    sides = []
+    for df, name, end in ((queries, query_id, "q"), (items, item_id, "c")):
+        copy = F.row_number().over(W.partitionBy(name).orderBy(vector))
+        fine = (F.size(vector) == width) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+        rows = df.where(F.col(name).isNotNull() & F.col(vector).isNotNull()).select(F.col(name).alias(end), F.col(vector).alias(f"{end}v"), fine.alias("_fine"), copy.alias("_copy"))
+        rows = cut_lineage(rows.select(end, f"{end}v", (F.col("_fine") & (F.col("_copy") == 1)).alias(f"{end}_plain")))
+        sides.append((cut_lineage(sign_codes(df, name, vector, bits, tables, seed).withColumnRenamed(name, end)), rows))
+    (qc, qs), (cc, cs) = sides
+    found = _code_blocks(qc, qs.where("q_plain"), cc, cs.where("c_plain"), k, block)
+    odd = [codes.join(rows.where(f"not {end}_plain").select(end).distinct(), end, "left_semi") for codes, rows, end in ((qc, qs, "q"), (cc, cs, "c"))]
+    mates = odd[0].join(cc, ["table", "code"]).select("q", "c").unionByName(qc.join(odd[1], ["table", "code"]).select("q", "c")).where("q <> c").distinct()
+    met = mates.join(qs, "q").join(cs, "c").where("not (q_plain and c_plain)")
+    apart = F.aggregate(F.zip_with(F.col("qv").cast("array<double>"), F.col("cv").cast("array<double>"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
+    every = found.unionByName(met.select("q", "c", F.round(F.sqrt(apart), 9).alias("distance")))
+    return top_k(every.select(F.col("q").alias(query_id), F.col("c").alias(item_id), "distance"), [query_id], [F.col("distance"), F.col(item_id)], k)
+
+
+def _code_blocks(qc: DataFrame, qs: DataFrame, cc: DataFrame, cs: DataFrame, k: int, block: int) -> DataFrame:
+    """``(q, c, distance)``: at least the ``k`` nearest items of every query among those that share a code with it."""
+    left, right = qc.join(qs, "q"), cc.join(cs, "c")
+    sizes = [df.groupBy("table", "code").agg(F.ceil(F.count("*") / block).cast("int").alias(n)) for df, n in ((qc, "_nq"), (cc, "_nc"))]
+    met = cut_lineage(sizes[0].join(sizes[1], ["table", "code"]))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda i, n: F.pmod(F.xxhash64(i), F.col(n)).cast("int")
+    left = left.join(met, ["table", "code"]).select("table", "code", at("q", "_nq").alias("_qb"), spread("_nc").alias("_cb"), "q", "qv")
+    # every column of the other side is a new one, so that the two sides of the cogroup share none
+    right = right.join(met, ["table", "code"]).select(F.col("table").alias("_t"), F.col("code").alias("_code"), spread("_nq").alias("_qb2"), at("c", "_nc").alias("_cb2"), "c", "cv")
+
+    def run(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        if not len(one) or not len(two):
+            return pd.DataFrame({"q": [], "c": [], "distance": []})
+        q, c = (np.vstack(v).astype(np.float64) for v in (one["qv"], two["cv"]))
+        return block_top_k(one["q"].to_numpy(), q, two["c"].to_numpy(), c, None, k, "euclidean", True)[["q", "c", "distance"]]
+
+    schema = f"q {dict(left.dtypes)['q']}, c {dict(right.dtypes)['c']}, distance double"
+    return left.groupBy("table", "code", "_qb", "_cb").cogroup(right.groupBy("_t", "_code", "_qb2", "_cb2")).applyInPandas(run, schema).distinct()
 
 
 def recall_at_k(exact: DataFrame, approximate: DataFrame, query_id: str, item_id: str) -> DataFrame:
