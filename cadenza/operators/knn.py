@@ -14,6 +14,7 @@ candidates and keeps only k per query, so no pair of rows ever leaves a task. Fo
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,12 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from cadenza.operators.ranking import top_k
-from cadenza.session import cut_lineage, small_table
+from cadenza.session import cut_lineage, shuffle_width, small_table
 
 BOUND = 8192  # rows a side may have to be sent to every task
 BYTES = 64 << 20  # and bytes
+BLOCK = 4096  # rows a block of a grid has at least
+BLOCK_BYTES = 16 << 20  # and bytes at most, beyond that
 
 
 def _matrix(col) -> np.ndarray:
@@ -163,12 +166,13 @@ def knn(
     metric: str = "euclidean",
     exclude_self: bool = False,
     bound: int = BOUND,
-    block: int = 4096,
+    block: int | None = None,
 ) -> DataFrame:
     """``(query_id, candidate_id, distance, rank)`` of the k nearest candidates of every query.
 
     ``weight`` names an array column of the candidates, ``query_weight`` one of the queries, that scales each squared difference.
-    Distances carry nine decimals and ties go to the smaller id.
+    Distances carry nine decimals and ties go to the smaller id. ``block`` fixes the rows of a block; without it blocks are as
+    large as ``BLOCK_BYTES`` and the number of tasks allow, since every row is sent once per block of the other side.
     """
     extra = [F.col(weight).alias("w")] if weight else []
     qs = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).cast("array<double>").alias("v"), *([F.col(query_weight).cast("array<double>").alias("qw")] if query_weight else []))
@@ -186,7 +190,7 @@ def knn(
             partial = _send_queries(cs, small, sc, k, metric, exclude_self, schema, arrow)
         else:
             weighted = "w" in cs.columns or "qw" in qs.columns
-            partial = None if weighted else _pivots(qs, cs, k, metric, exclude_self, schema, block)
+            partial = None if weighted else _pivots(qs, cs, k, metric, exclude_self, schema, block or BLOCK)
             if partial is None:
                 partial = _grid(qs, cs, k, metric, exclude_self, schema, block)
         out = top_k(partial.drop("rank"), ["q"], [F.col("distance"), F.col("c")], k)
@@ -355,9 +359,16 @@ def _meet(q: DataFrame, c: DataFrame, size: np.ndarray, k, metric, exclude_self,
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
 
 
+def block_rows(queries: int, candidates: int, width: int, tasks: int) -> int:
+    """Rows of a block: what is shuffled falls with them, so as many as fit, but no more than leave two block pairs per task."""
+    return max(BLOCK, min(BLOCK_BYTES // (8 * max(1, width)), math.isqrt(queries * candidates // (2 * tasks))))
+
+
 def _grid(qs, cs, k, metric, exclude_self, schema, block) -> DataFrame:
-    nq = max(1, -(-qs.count() // block))
-    nc = max(1, -(-cs.count() // block))
+    many, others = qs.count(), cs.count()
+    if block is None:
+        block = block_rows(many, others, cs.select(F.max(F.size("v"))).first()[0] or 1, shuffle_width(qs))
+    nq, nc = max(1, -(-many // block)), max(1, -(-others // block))
 
     def part(i: str, n: int):
         return F.pmod(F.xxhash64(i), F.lit(n)).cast("int")

@@ -227,8 +227,14 @@ def context_window(turns: DataFrame, budget: int, last: int | None = None) -> Da
     return out.drop("_back")
 
 
-def mean_vectors(items: DataFrame, keys: Sequence[str], vector: str) -> DataFrame:
-    """Component-wise mean vector per key, combined map-side, as wide as the vectors are."""
-    long = items.select(*keys, F.posexplode(vector).alias("_i", "_x"))
-    means = long.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
-    return means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_m"))).alias("_s")).select(*keys, F.col("_s._m").alias("v"))
+def mean_vectors(items: DataFrame, keys: Sequence[str], vector: str, width: int | None = None) -> DataFrame:
+    """Component-wise mean vector per key, combined map-side, as wide as the key's widest vector.
+
+    A row holds all sums of a key: unfolded into components, rows and keys would be shuffled once per component. ``width``
+    spares a look at all items for their widest vector.
+    """
+    if width is None:
+        width = items.select(F.max(F.size(vector))).first()[0] or 0
+    means = [F.avg(F.get(vector, F.lit(i)).cast("double")) for i in range(width)]
+    every = items.groupBy(*keys).agg(F.max(F.size(vector)).alias("_n"), F.array(*means).cast("array<double>").alias("_m"))
+    return every.where("_n > 0").select(*keys, F.slice("_m", F.lit(1), F.col("_n")).alias("v"))

@@ -553,7 +553,8 @@ def followup_similar(c):
     sess = rhythm.session_split(c.requests, gap_seconds=172800)
     many = c.vectors.agg(F.count("*")).scalar()
     items = sess.select("user_id", "session", (F.col("event_id") % many).alias("vec_id")).join(c.vectors, "vec_id")
-    means = rhythm.mean_vectors(items, ["user_id", "session"], "embedding")
+    width = c.vectors.select(F.max(F.size("embedding"))).first()[0] or 0
+    means = rhythm.mean_vectors(items, ["user_id", "session"], "embedding", width)
     q = means.select(F.concat_ws(":", "user_id", "session").alias("q"), "v")
     near = knn(q, c.vectors.select(F.col("vec_id"), F.col("embedding").alias("v")), 3, candidate_id="vec_id", metric="cosine")
     parts = F.split("q", ":")
