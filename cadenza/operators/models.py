@@ -79,11 +79,15 @@ def vector_statistics(x: str) -> Column:
     return F.array(mean, deviation, F.array_min(x), F.array_max(x), *quartiles)
 
 
+LIFTED = 512  # vectors that are widened at once: a batch holds thousands
+
+
 def _map_vectors(df: DataFrame, x: str, fn) -> DataFrame:
     @F.pandas_udf("array<double>")
     def lift(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series(list(fn(np.vstack(s)))) if len(s) else pd.Series([], dtype=object)
+            for at in range(0, len(s), LIFTED):
+                yield pd.Series(list(fn(np.vstack(s.iloc[at : at + LIFTED]))))
 
     return df.withColumn(x, lift(F.col(x).cast("array<double>")))
 
