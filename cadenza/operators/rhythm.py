@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cadenza.functions.musical import tempo_class
 from cadenza.operators.ordered import chunk_scan, exact_quantiles, own_rows, range_chunks, with_halo
+from cadenza.session import shuffle_width
 
 
 CHUNK = 8192  # steps of a clip that one task works on together
@@ -57,7 +58,8 @@ def by_chunk(envelope: DataFrame, before: int, after: int, work: Callable[[np.nd
         out.insert(0, "clip", [key[0]] * len(out))
         return out
 
-    return sent.groupBy("clip", "_chunk").applyInPandas(run, f"clip {kind}, {schema}")
+    # a number of partitions of its own: by the few bytes of steps alone, many clips would be merged into one task
+    return sent.repartition(shuffle_width(sent), "clip", "_chunk").groupBy("clip", "_chunk").applyInPandas(run, f"clip {kind}, {schema}")
 
 
 def lag_products(line: np.ndarray, start: int, stop: int, max_lag: int, direct: int = 256) -> np.ndarray:

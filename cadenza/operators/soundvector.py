@@ -3,14 +3,15 @@
 Samples are grouped once into chunks of frames, each with the frames that a window at its border looks at, so a clip
 holding a third of the data is still many tasks. Inside a chunk every series is numpy over all frames at once (lambdas
 over arrays took a millisecond a frame for the products with the mel and cosine bases alone). The spectrum is never
-unfolded into cells. What leaves a chunk are the loudest cell per clip and the finished series; moments, exact medians,
-tempo and the assembly of the vector are joins and aggregates over these.
+unfolded into cells, nor frames into values. What leaves a chunk are the loudest cell per clip, then the moments of its
+series, and medians where the chunk is the whole clip (else the values they are taken from); merging these, exact medians of
+longer clips, tempo and the assembly of the vector are joins and aggregates.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from cadenza.operators import audio, rhythm
 from cadenza.operators.ordered import exact_quantiles
-from cadenza.session import cut_lineage, small_table
+from cadenza.session import cut_lineage, shuffle_width, small_table
 
 AMIN = audio.AMIN
 CHROMAS = ("chroma_stft", "chroma_cqt", "chroma_cens")
@@ -183,13 +184,16 @@ class ChunkSeries:
         return number[own], np.concatenate([np.stack(single, axis=1), *wide], axis=1)[own]
 
 
-def frame_values(sent: DataFrame, work: ChunkSeries) -> DataFrame:
-    """``(clip, frame, v)``: the values of every full frame.
+def frame_values(sent: DataFrame, work: ChunkSeries, told: Callable[[np.ndarray, np.ndarray, bool], dict] | None = None, schema: str = "frame int, v array<double>") -> DataFrame:
+    """``(clip, frame, v)``: the values of every full frame, or what ``told`` makes of a chunk's frames.
 
     The loudest cell of a clip is found first, chunk by chunk, and sent to each of its chunks; both passes read the
-    same shuffled samples.
+    same shuffled samples. ``told`` gets the numbers of the chunk's own frames, their values, and whether these are all
+    frames of the clip; it returns the columns of ``schema``.
     """
     kind = dict(sent.dtypes)["clip"]
+    told = told or (lambda number, values, alone: {"frame": number, "v": list(values)})
+    columns = ["clip", *[f.split()[0] for f in schema.split(", ")]]
 
     def loud(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         top = work.loudest(int(key[1]), rows["t"].to_numpy(), rows["x"].to_numpy())
@@ -197,15 +201,78 @@ def frame_values(sent: DataFrame, work: ChunkSeries) -> DataFrame:
 
     def series(key: tuple, rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
         if not len(rows) or not len(tops):
-            return pd.DataFrame(columns=["clip", "frame", "v"], dtype=object)
+            return pd.DataFrame(columns=columns, dtype=object)
         number, values = work.series(int(key[1]), rows["t"].to_numpy(), rows["x"].to_numpy(), float(tops["top"].iloc[0]))
-        return pd.DataFrame({"clip": [key[0]] * len(number), "frame": number, "v": list(values)})
+        made = told(number, values, bool(tops["alone"].iloc[0]))
+        return pd.DataFrame({"clip": [key[0]] * len(made[columns[1]]), **made})
 
     keys = ["clip", "_chunk"]
+    # a number of partitions of its own: by the few bytes of samples alone, many clips would be merged into one task
+    sent = sent.repartition(shuffle_width(sent), *keys)
     tops = sent.groupBy(*keys).applyInPandas(loud, f"clip {kind}, _chunk bigint, top double")
     tops = tops.groupBy("clip").agg(F.max("top").alias("top"), F.max("_chunk").alias("_last"))
-    tops = tops.select("clip", "top", F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk"))
-    return sent.groupBy(*keys).cogroup(tops.groupBy(*keys)).applyInPandas(series, f"clip {kind}, frame int, v array<double>")
+    tops = tops.select("clip", "top", (F.col("_last") == 0).alias("alone"), F.explode(F.sequence(F.lit(0).cast("bigint"), "_last")).alias("_chunk"))
+    return sent.groupBy(*keys).cogroup(tops.groupBy(*keys)).applyInPandas(series, f"clip {kind}, {schema}")
+
+
+def chunk_statistics(sent: DataFrame, work: ChunkSeries, names: Sequence[str], medians: Sequence[str]) -> DataFrame:
+    """One row per clip and chunk with the statistics of its frames, so that frames are not unfolded into values.
+
+    ``n, mean, dev, max, min, median`` are arrays over the distinct ``names``: number of values that are not NaN, their mean,
+    sum of squared deviations, greatest, least and median. ``onset`` has the rises of the frames from number ``first`` on.
+    If the chunk is not ``alone`` in its clip, medians cannot be told yet, and ``loose`` has the values of ``medians``, as
+    ``(series, value)``.
+    """
+    ids = {n: i for i, n in enumerate(dict.fromkeys(names))}
+    of = np.array([ids[n] for n in names])
+    shared, width = np.flatnonzero(np.bincount(of) > 1), len(ids)
+    single = np.flatnonzero(~np.isin(of, shared))
+    middle, onset = [ids[n] for n in medians], names.index("onset")
+
+    def told(number: np.ndarray, values: np.ndarray, alone: bool) -> dict:
+        out = {"n": np.zeros(width, dtype=np.int64), **{k: np.full(width, np.nan) for k in ("mean", "dev", "max", "min", "median")}}
+
+        def put(at: np.ndarray, block: np.ndarray) -> None:
+            some = ~np.isnan(block)
+            n = some.sum(0)
+            mean = np.where(some, block, 0.0).sum(0) / np.maximum(n, 1)
+            out["n"][at], out["mean"][at] = n, mean
+            out["dev"][at] = (np.where(some, block - mean, 0.0) ** 2).sum(0)
+            out["max"][at] = np.where(some, block, -np.inf).max(0)
+            out["min"][at] = np.where(some, block, np.inf).min(0)
+
+        if not len(number):
+            return {k: [] for k in (*out, "alone", "first", "onset", "loose")}
+        with np.errstate(invalid="ignore"):
+            put(of[single], values[:, single])
+            for s in shared:
+                put(np.array([s]), values[:, of == s].reshape(-1, 1))
+        kept = [v[~np.isnan(v)] for v in (values[:, of == s].ravel() for s in middle)]
+        if alone:
+            for s, v in zip(middle, kept):
+                out["median"][s] = np.median(v) if len(v) else np.nan
+        loose = None if alone else [{"series": s, "value": x} for s, v in zip(middle, kept) for x in v.tolist()]
+        return {**{k: [v] for k, v in out.items()}, "alone": [alone], "first": [int(number[0])], "onset": [values[:, onset]], "loose": [loose]}
+
+    arrays = "n array<bigint>, mean array<double>, dev array<double>, max array<double>, min array<double>, median array<double>"
+    return frame_values(sent, work, told, f"{arrays}, alone boolean, first int, onset array<double>, loose array<struct<series:int,value:double>>")
+
+
+def merged_statistics(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(clip, series, mean, std, max, min)`` of whole clips and ``(clip, series, median)`` from the rows of ``chunk_statistics``."""
+    zipped = F.arrays_zip("n", "mean", "dev", "max", "min", "median")
+    parts = chunks.select("clip", "alone", F.posexplode(zipped).alias("series", "s")).select("clip", "alone", "series", "s.*").where("n > 0")
+    # what is told of infinite values may not be a number, which Arrow hands over as null
+    parts = parts.withColumns({c: F.coalesce(c, F.lit(float("nan"))) for c in ("mean", "dev", "max", "min", "median")})
+    alone, cut, keys = parts.where("alone"), parts.where("not alone"), ["clip", "series"]
+    stats = alone.select(*keys, "mean", F.sqrt(F.col("dev") / F.col("n")).alias("std"), "max", "min")
+    # of a clip in several chunks the means are merged first, then the deviations from the merged mean
+    whole = cut.groupBy(*keys).agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    apart = F.col("mean") - F.col("_mean")
+    spread = F.sqrt(F.sum(F.col("dev") + F.col("n") * apart * apart) / F.first("_n"))
+    joined = cut.join(whole, keys).groupBy(*keys).agg(F.first("_mean").alias("mean"), spread.alias("std"), F.max("max").alias("max"), F.min("min").alias("min"))
+    loose = chunks.where("not alone").select("clip", F.inline("loose"))
+    return stats.unionByName(joined), alone.select(*keys, "median").unionByName(exact_quantiles(loose, keys, "value", {"median": 0.5}))
 
 
 def series_names(n_coefs: int, n_mels: int, bands: Sequence[int]) -> list[str]:
@@ -236,18 +303,17 @@ def full_features(
     """
     halo = max(4, smooth // 2)
     work = ChunkSeries(window, hop, sample_rate, n_mels, n_coefs, smooth, chunk, halo)
-    # statistics, medians and rhythm read the finished series, not the samples again
-    rows = cut_lineage(frame_values(chunked_samples(samples, window, hop, chunk=chunk, halo=halo), work))
-
     names = series_names(n_coefs, n_mels, bands)
+    # statistics, medians and rhythm read the finished chunks, not the samples again
+    rows = cut_lineage(chunk_statistics(chunked_samples(samples, window, hop, chunk=chunk, halo=halo), work, names, MEDIANS))
+
     ids = {n: i for i, n in enumerate(dict.fromkeys(names))}
-    series = F.element_at(F.array(*[F.lit(ids[n]) for n in names]), F.col("pos") + 1)
-    long = rows.select("clip", F.posexplode("v").alias("pos", "value")).where(~F.isnan("value")).select("clip", series.alias("series"), "value")
-    stats = audio.frame_stats(long, ["clip", "series"])
-    middle = exact_quantiles(long.where(F.col("series").isin([ids[n] for n in MEDIANS])), ["clip", "series"], "value", {"median": 0.5})
+    stats, middle = merged_statistics(rows)
+    middle = middle.where(F.col("series").isin([ids[n] for n in MEDIANS]))
     label = small_table(samples.sparkSession, [(i, n) for n, i in ids.items()], "series int, _p string")
     parts = [audio.named_stats(t.join(label, "series").drop("series"), F.col("_p"), cols) for t, cols in ((stats, audio.STATS4), (middle, ["median"]))]
-    parts.append(rhythm_features(rows.select("clip", F.col("frame").alias("t"), F.col("v")[ids["onset"]].alias("strength")), lags, tempogram_window, hop / sample_rate))
+    envelope = rows.select("clip", "first", F.posexplode("onset").alias("at", "strength"))
+    parts.append(rhythm_features(envelope.select("clip", (F.col("first") + F.col("at")).alias("t"), "strength"), lags, tempogram_window, hop / sample_rate))
     every = parts[0]
     for p in parts[1:]:
         every = every.unionByName(p)
