@@ -42,12 +42,15 @@ def _matrix(col) -> np.ndarray:
     return flat.reshape(len(col), -1)
 
 
+def _unit(m: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return m / np.sqrt((m * m).sum(1, keepdims=True))
+
+
 def _distances(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, metric: str, qw: np.ndarray | None = None) -> np.ndarray:
     if metric == "cosine":
-        with np.errstate(divide="ignore", invalid="ignore"):
-            qn = q / np.sqrt((q * q).sum(1, keepdims=True))
-            cn = c / np.sqrt((c * c).sum(1, keepdims=True))
-        return 1.0 - qn @ cn.T
+        out = _unit(q) @ _unit(c).T
+        return np.subtract(1.0, out, out=out)
     out = np.zeros((len(q), len(c)))
     for j in range(q.shape[1]):
         d = q[:, j, None] - c[None, :, j]
@@ -56,6 +59,20 @@ def _distances(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, metric: str,
     return np.sqrt(out)
 
 
+def _reach(d: np.ndarray, k: int, share: int = 16) -> np.ndarray:
+    """A distance per row that at least ``k`` of its entries do not pass, close to the k-th least.
+
+    The least entries of groups of ``share`` columns are ranked instead of all entries; groups take every n-th column, since like rows lie side by side.
+    """
+    groups = d.shape[1] // share
+    if groups <= 4 * k:
+        at = min(k, d.shape[1]) - 1
+        return np.partition(d, at, axis=1)[:, at]
+    whole = groups * share
+    least = d[:, :whole].reshape(len(d), share, groups).min(1)
+    return np.partition(np.hstack([least, d[:, whole:]]), k - 1, axis=1)[:, k - 1]
+
+
 def _close_pairs(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, qw: np.ndarray | None, k: int, own: np.ndarray):
     """``(query, candidate, distance)`` of every pair that can be among the k nearest of its query, or None to compare all in full.
 
@@ -80,11 +97,13 @@ def _close_pairs(q: np.ndarray, c: np.ndarray, w: np.ndarray | None, qw: np.ndar
         return None
     at = np.flatnonzero(own >= 0)
     d[at, own[at]] = np.inf
-    kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+    kth = _reach(d, k)
     most = (np.sqrt(np.maximum(kth + error, 0.0)) + 2e-8) ** 2 * (1 + 1e-12) + error
-    qi, ci = np.nonzero((d <= most[:, None]) & np.isfinite(d))
-    if len(qi) > d.size // 8:
+    near = np.flatnonzero(d <= most[:, None])
+    near = near[np.isfinite(d.ravel()[near])]
+    if len(near) > d.size // 8:
         return None
+    qi, ci = np.divmod(near, d.shape[1])
     dist = np.zeros(len(qi))
     for j in range(q.shape[1]):
         gap = q[qi, j] - c[ci, j]
@@ -103,18 +122,25 @@ def block_top_k(qid, q, cid, c, w, k, metric, exclude_self, qw=None) -> pd.DataF
     qid, q, qw = qid[fine], q[fine], None if qw is None else qw[fine]
     if not len(c):
         q = q[:0]
-    parts = []
-    step = max(1, 4_000_000 // max(1, len(c)))
+    parts, unit = [], _unit(c) if metric == "cosine" else None
+    step = max(1, 1_000_000 // max(1, len(c)))
     for s in range(0, len(q), step):
         some, scale = q[s : s + step], None if qw is None else qw[s : s + step]
         at = pd.Index(cid).get_indexer(qid[s : s + step]) if exclude_self else np.full(len(some), -1)
         found = None if metric == "cosine" else _close_pairs(some, c, w, scale, k, at)
         if found is None:
-            d = _distances(some, c, w, metric, scale)
-            d[np.isnan(d)] = np.inf
+            if metric == "cosine":
+                d = _unit(some) @ unit.T
+                np.subtract(1.0, d, out=d)
+            else:
+                d = _distances(some, c, w, metric, scale)
+            if np.isnan(d.sum()):
+                d[np.isnan(d)] = np.inf
             d[np.flatnonzero(at >= 0), at[at >= 0]] = np.inf
-            kth = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-            qi, ci = np.nonzero((d <= kth[:, None] + 1e-8) & np.isfinite(d))
+            kth = _reach(d, k)
+            near = np.flatnonzero(d <= kth[:, None] + 1e-8)
+            near = near[np.isfinite(d.ravel()[near])]
+            qi, ci = np.divmod(near, d.shape[1])
             found = qi, ci, d[qi, ci]
         qi, ci, dist = found
         dist = np.round(dist, 9)
